@@ -6,9 +6,10 @@ of the unprotected side only at every second, fourth ... compaction keeps the er
 proportional to the distance from the protected end, so extreme percentiles stay exact-like.
 Sketches of partitions or days merge by concatenating levels and compacting again.
 
-Tables of sketches are long: one row per key and level, ``items`` sorted, ``n`` the values the whole
-sketch stands for, ``steps`` the level's compaction counter. Which half survives is decided by a hash
-of the counter and level, never by a random generator, so reruns of lost tasks give the same sketch.
+Tables of sketches have one row per key: ``items`` and the level of each in ``levels``, and the
+compaction counter of every level in ``steps``. Which half survives is decided by a hash of counter
+and level, never by a random generator. A sketch of at most ``capacity(0)`` items was never compacted
+and is exact; such sketches are built, merged and read inside the JVM, and Python sees only larger ones.
 
 Defined cases: null and NaN values are left out; infinities count as values; groups without values
 and empty tables give no row; the null group is a group.
@@ -17,6 +18,7 @@ and empty tables give no row; the null group is a group.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SECTION = 24  # values in a section; the error falls as its inverse
-LEVEL_SCHEMA = [
-    T.StructField("level", T.IntegerType()),
-    T.StructField("steps", T.LongType()),
+BODY = [
+    T.StructField("levels", T.ArrayType(T.IntegerType())),
     T.StructField("items", T.ArrayType(T.DoubleType())),
+    T.StructField("steps", T.ArrayType(T.LongType())),
 ]
 
 
@@ -104,10 +106,18 @@ class Sketch:
         self._at(level + 1)
         self.levels[level + 1] = np.concatenate([self.levels[level + 1], promoted])
 
-    def rows(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        for level, items in enumerate(self.levels):
-            if len(items):
-                yield level, self.steps[level], np.sort(items)
+    @classmethod
+    def of(cls, levels: np.ndarray, items: np.ndarray, steps: np.ndarray, section: int, protect: str) -> Sketch:
+        s = cls(section, protect)
+        for h in range(max(int(levels.max(initial=-1)) + 1, len(steps))):
+            s.put(h, items[levels == h], int(steps[h]) if h < len(steps) else 0)
+        s.compact()
+        return s
+
+    def body(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(levels, items, steps), the columns of a row."""
+        levels = np.concatenate([np.full(len(x), h, dtype=np.int32) for h, x in enumerate(self.levels)]) if self.levels else np.empty(0, np.int32)
+        return levels, np.concatenate(self.levels) if self.levels else np.empty(0), np.asarray(self.steps, dtype=np.int64)
 
     def weighted(self) -> tuple[np.ndarray, np.ndarray]:
         values = np.concatenate(self.levels) if self.levels else np.empty(0)
@@ -129,88 +139,97 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(k, df.schema[k].dataType) for k in keys]
 
 
-def _groups(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    for key, part in pdf.groupby(keys, sort=False, dropna=False):
-        yield tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,))), part
+HELD_ITEMS = 400_000  # items a task holds before it hands its sketches on; merging makes up for it
+
+
+def _shares(keys: list[str], section: int, protect: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sketch the keys that fill a sketch within a batch; pass the values of all others on as they are."""
+    held: dict[tuple, Sketch] = {}
+    room, size = capacity(0, section), 0
 
+    def rows() -> pd.DataFrame:
+        out = [(*key, *s.body()) for key, s in held.items()]
+        held.clear()
+        return pd.DataFrame(out, columns=[*keys, "levels", "items", "steps"])
 
-FLUSH_ITEMS = 400_000  # items a task holds before it hands its sketches on; merging makes up for it
+    for pdf in batches:
+        code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        big = np.bincount(code) > room if len(code) else np.empty(0, bool)
+        is_big = big[code] if len(code) else np.empty(0, bool)
+        small = pdf[~is_big]
+        if len(small):
+            levels = [[h for h in range(int(w).bit_length()) if int(w) >> h & 1] for w in small["weight_"].to_numpy()]
+            yield pd.DataFrame({**{k: small[k] for k in keys}, "levels": levels, "items": [[v] * len(h) for v, h in zip(small["value_"].to_numpy(), levels)], "steps": [[]] * len(small)})
+        for _, part in pdf[is_big].groupby(code[is_big], sort=False):
+            key = tuple(None if pd.isna(x) else x for x in part[keys].iloc[0])
+            s = held.setdefault(key, Sketch(section, protect))
+            s.add(part["value_"].to_numpy(), part["weight_"].to_numpy())
+            size += 2 * room
+        if size > HELD_ITEMS:
+            yield rows()
+            size = 0
+    if held:
+        yield rows()
 
 
 def build(df: DataFrame, keys: Sequence[str], value: str, section: int = SECTION, protect: str = "high") -> DataFrame:
     """Sketches of ``value`` per key.
 
     Equal values are counted map-side first and hash-partitioned by key *and* value, which spreads a
-    hot key over all tasks; each task sketches its share of every key, and shares merge by key.
+    hot key over all tasks; each task sketches its share of such a key, and shares merge by key.
     """
     keys = list(keys)
-    fields = _key_fields(df, keys)
+    schema = T.StructType(_key_fields(df, keys) + BODY)
     counted = (
         df.select(*keys, F.col(value).cast("double").alias("value_")).where("value_ is not null and not isnan(value_)")
         .groupBy(*keys, "value_").agg(F.count("*").alias("weight_"))
     )
-    schema = T.StructType(fields + LEVEL_SCHEMA)
-
-    def sketch_shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Sketch] = {}
-        size = 0
-
-        def flush() -> pd.DataFrame:
-            rows = [(*key, *row) for key, s in held.items() for row in s.rows()]
-            held.clear()
-            return pd.DataFrame(rows, columns=[*keys, "level", "steps", "items"])
-
-        for pdf in batches:
-            for key, part in _groups(pdf, keys):
-                s = held.get(key)
-                if s is None:
-                    s = held[key] = Sketch(section, protect)
-                s.add(part["value_"].to_numpy(), part["weight_"].to_numpy())
-                size += min(len(part), 4 * section)
-            if size > FLUSH_ITEMS:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
-
-    return merge(counted.mapInPandas(sketch_shares, schema), keys, section, protect)
+    return merge(counted.mapInPandas(partial(_shares, keys, section, protect), schema), keys, section, protect)
 
 
 def merge(sketches: DataFrame, keys: Sequence[str], section: int = SECTION, protect: str = "high") -> DataFrame:
     """Merge every sketch that shares ``keys`` (fewer than the sketches were built by, if wanted).
 
-    Shares of a key number at most a few per task and finer key, each of a few kilobytes.
+    Levels are concatenated by a JVM aggregate; only keys that then exceed a sketch's first capacity go
+    to Python to compact. A key has at most a few sketches per task and finer key, of a few kilobytes each.
     """
     keys = list(keys)
-    schema = T.StructType(_key_fields(sketches, keys) + LEVEL_SCHEMA)
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Sketch(section, protect)
-        for level, steps, items in zip(pdf["level"], pdf["steps"], pdf["items"]):
-            s.put(int(level), np.asarray(items, dtype=float), int(steps))
-            if len(s.levels[int(level)]) > 64 * section:
-                s.compact()
-        s.compact()
-        return pd.DataFrame([(*key, *row) for row in s.rows()], columns=[*keys, "level", "steps", "items"])
+    schema = T.StructType(_key_fields(sketches, keys) + BODY)
+    either = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)).bitwiseOR(F.coalesce(y, F.lit(0))))
+    joined = sketches.groupBy(*keys).agg(
+        F.flatten(F.collect_list("levels")).alias("levels"), F.flatten(F.collect_list("items")).alias("items"),
+        F.aggregate(F.collect_set("steps"), F.array().cast("array<bigint>"), either).alias("steps"),
+    )
+
+    def compacted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bodies = [
+                (lv, xs, st) if len(xs) <= capacity(0, section) else Sketch.of(np.asarray(lv), np.asarray(xs, dtype=float), np.asarray(st), section, protect).body()
+                for lv, xs, st in zip(pdf["levels"], pdf["items"], pdf["steps"])
+            ]
+            out = pdf[keys].copy()
+            for i, name in enumerate(("levels", "items", "steps")):
+                out[name] = pd.Series([x[i] for x in bodies], index=out.index, dtype=object)
+            yield out
 
-    return sketches.groupBy(*keys).applyInPandas(one, schema)
+    return joined.mapInPandas(compacted, schema)
 
 
 def quantiles(sketches: DataFrame, keys: Sequence[str], ps: dict[str, float]) -> DataFrame:
     """(keys, n, one column per named percentile) from sketches, inside the JVM.
 
-    A group's sketch holds a few hundred items; they are folded there without another shuffle of values.
+    A percentile is the smallest item whose cumulative weight reaches rank max(1, ceil(p * n)).
     """
     keys = list(keys)
-    pairs = F.transform("items", lambda x: F.struct(x.alias("v"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level")).alias("w")))
-    flat = sketches.select(*keys, pairs.alias("pairs")).groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    n = F.aggregate("pairs", F.lit(0).cast("long"), lambda a, x: a + x["w"])
-    flat = flat.withColumn("n", n)
-
-    def pick(p: float) -> F.Column:
-        want = F.greatest(F.lit(1.0), F.ceil(F.lit(p) * F.col("n") - 1e-9))
-        state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("value"))
-        fold = F.aggregate("pairs", state, lambda a, x: F.struct((a["seen"] + x["w"]).alias("seen"), F.when((a["seen"] < want) & (a["seen"] + x["w"] >= want), x["v"]).otherwise(a["value"]).alias("value")))
-        return fold["value"]
-
-    return flat.select(*keys, "n", *[pick(p).alias(name) for name, p in ps.items()])
+    weight = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h)
+    pairs = F.sort_array(F.zip_with("items", "levels", lambda x, h: F.struct(x.alias("v"), weight(h).alias("w"))))
+    flat = sketches.select(*keys, pairs.alias("pairs")).withColumn("n", F.aggregate("pairs", F.lit(0).cast("long"), lambda a, x: a + x["w"]))
+    names = list(ps)
+    want = F.array(*[F.greatest(F.lit(1.0), F.ceil(F.lit(ps[k]) * F.col("n") - 1e-9)) for k in names])
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.transform("want", lambda w: F.lit(None).cast("double")).alias("found"))
+    fold = F.aggregate("pairs", start, lambda a, x: F.struct(
+        (a["seen"] + x["w"]).alias("seen"),
+        F.zip_with(a["found"], "want", lambda f, w: F.when(f.isNull() & (a["seen"] + x["w"] >= w), x["v"]).otherwise(f)).alias("found"),
+    ))["found"]
+    picked = flat.withColumn("want", want).select(*keys, "n", fold.alias("found"))
+    return picked.select(*keys, "n", *[F.col("found")[i].alias(k) for i, k in enumerate(names)])
