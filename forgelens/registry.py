@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from forgelens.plans import drift
+
+MODULES: tuple = (drift,)
 
 
 def queries() -> dict:
