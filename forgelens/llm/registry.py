@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from forgelens.llm import queries_documents, queries_numeric, queries_source
+from forgelens.llm import queries_documents, queries_numeric, queries_source, queries_tokens
 
-MODULES = (queries_documents, queries_numeric, queries_source)
+MODULES = (queries_documents, queries_numeric, queries_source, queries_tokens)
 
 
 def queries() -> dict:
