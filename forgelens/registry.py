@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from forgelens.plans import drift
+from forgelens.plans import dataset, drift, history
 
-MODULES: tuple = (drift,)
+BOOKS = (history.book, dataset.book)
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: v for b in BOOKS for k, v in b.queries.items()} | drift.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
+    return {k: v for b in BOOKS for k, v in b.sql.items()} | drift.ORACLES
