@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from forgelens.plans import dataset, drift, history
+from forgelens.plans import dataset, drift, history, stats
 
-BOOKS = (history.book, dataset.book)
+BOOKS = (history.book, dataset.book, stats.book)
 
 
 def queries() -> dict:
