@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -81,17 +82,19 @@ def merged(word_hex: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     return F.transform(_pieces(folded["w"]), lambda p: rank_of(p, path))
 
 
-def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(key, ids): the ids of every row's text, without special tokens."""
-    base = documents.select(F.col(key).alias("k_"), F.coalesce(F.col(text), F.lit("")).alias("t_"))
+def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = DEFAULT_VOCABULARY, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, kept columns, ids): the ids of every row's text, without special tokens."""
+    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    held = [f"kept_{i}" for i in range(len(keep))]
+    base = documents.select(F.col(key).alias("k_"), F.coalesce(F.col(text), F.lit("")).alias("t_"), *kept)
     words = F.regexp_extract_all(F.col("t_"), F.lit(PATTERN), F.lit(0))
-    looked = base.select("k_", F.xxhash64("t_").alias("h_"), F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"), rank_of(F.hex(F.encode(w, "UTF-8")), path).alias("id"))).alias("ws"))
-    hits = looked.select("k_", "h_", F.transform(F.filter("ws", lambda w: w["id"].isNotNull()), lambda w: F.struct(w["pos"].alias("pos"), F.array(w["id"]).alias("ids"))).alias("hits"))
+    looked = base.select("k_", *held, F.xxhash64("t_").alias("h_"), F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"), rank_of(F.hex(F.encode(w, "UTF-8")), path).alias("id"))).alias("ws"))
+    hits = looked.select("k_", "h_", *held, F.transform(F.filter("ws", lambda w: w["id"].isNotNull()), lambda w: F.struct(w["pos"].alias("pos"), F.array(w["id"]).alias("ids"))).alias("hits"))
     missing = looked.select("k_", "h_", F.explode(F.filter("ws", lambda w: w["id"].isNull())).alias("w")).select("k_", "h_", "w.pos", "w.word").distinct()
     folded = missing.select("word").distinct().select("word", merged(F.hex(F.encode("word", "UTF-8")), path).alias("ids"))
     back = missing.join(folded, "word").groupBy("k_", "h_").agg(F.collect_list(F.struct("pos", "ids")).alias("misses"))
     every = F.concat("hits", F.coalesce("misses", F.array().cast("array<struct<pos:int,ids:array<int>>>")))
-    return hits.join(back, ["k_", "h_"], "left").select(F.col("k_").alias(key), F.flatten(F.transform(F.array_sort(every), lambda x: x["ids"])).alias("ids"))
+    return hits.join(back, ["k_", "h_"], "left").select(F.col("k_").alias(key), *[F.col(h).alias(c) for h, c in zip(held, keep)], F.flatten(F.transform(F.array_sort(every), lambda x: x["ids"])).alias("ids"))
 
 
 def decode(ids: Column, path: str = DEFAULT_VOCABULARY) -> Column:

@@ -16,13 +16,14 @@ have equal hashes and go together; empty tables give no documents and shares of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from forgelens.session import cut
 
-BITS, LEVELS = 12, 5  # 60 bits of the hash, 4096 buckets at a time
+BITS, LEVELS = 12, 4  # 48 bits of the hash, 4096 buckets at a time
+MAX_TARGETS = 10_000
 
 
 def plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
@@ -43,45 +44,62 @@ def plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     return t.withColumn("want", want).withColumn("passes", passes).withColumn("rest", F.col("want") - F.col("passes") * F.col("available")).select("source", "target_share", "max_repeats", "documents", "available", "want", "passes", "rest")
 
 
-def thresholds(hashed: DataFrame, plans: DataFrame) -> DataFrame:
-    """(source, below): documents with a hash under ``below`` sum to the rest of their source, to the nearest document.
+def _lookup(values: dict[str, int], key: Column) -> Column:
+    """A literal map of sources; null where a source has no value."""
+    if not values:
+        return F.lit(None).cast("long")
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(int(v)).cast("long"))])[key]
+
+
+def thresholds(hashed: DataFrame, rest: dict[str, int]) -> dict[str, int]:
+    """The hash below which a source's documents sum to its rest, to the nearest document.
 
     Each level sums tokens by source and bucket (at most 4096 rows a source) within the prefix that the
-    level before left open; documents outside the boundary bucket are not read into later sums.
+    level before left open, and sends one row a source to the driver; documents outside the boundary
+    buckets are not summed again.
     """
-    state = cut(plans.where("rest > 0").select("source", F.col("rest").alias("left"), F.lit(0).cast("long").alias("prefix")))
+    left, prefix = dict(rest), dict.fromkeys(rest, 0)
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        inside = hashed.join(F.broadcast(state), "source")
+        inside = hashed.withColumn("left", _lookup(left, F.col("source"))).where("left is not null")
         if level:
-            inside = inside.where(F.shiftright("h", shift + BITS) == F.col("prefix"))
-        sums = inside.groupBy("source", "left", "prefix", F.shiftright("h", shift).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
-        upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
-        run = sums.withColumn("upto", upto)
-        full = run.groupBy("source", "left", "prefix").agg(
-            F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("taken"), F.min(F.when(F.col("upto") > F.col("left"), F.col("bucket"))).alias("open"), F.max("bucket").alias("end")
-        )
-        # the boundary bucket; where all fits, the one after the last
-        state = cut(full.select("source", (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left"), F.coalesce("open", F.col("end") + 1).alias("prefix")))
-    # the document at the boundary joins where that comes nearer to the budget
-    at = hashed.join(F.broadcast(state), "source").where(F.col("h") == F.col("prefix")).groupBy("source").agg(F.sum("tokens").alias("edge"))
-    nearer = F.coalesce(F.col("edge") - F.col("left") < F.col("left"), F.lit(False))
-    return state.join(F.broadcast(at), "source", "left").select("source", (F.col("prefix") + nearer.cast("long")).alias("below"))
+            inside = inside.where(F.shiftright("h", shift + BITS) == _lookup(prefix, F.col("source")))
+        sums = inside.groupBy("source", "left", F.shiftright("h", shift).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+        run = sums.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")))
+        rows = run.groupBy("source").agg(
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.lit(0)).alias("taken"),
+            F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", "tokens"))).alias("open"), F.max("bucket").alias("end"),
+        ).collect()
+        for r in rows:
+            if r["open"] is None:  # all fits: the threshold is past the last document
+                prefix[r["source"]] = r["end"] + 1
+            else:
+                prefix[r["source"]] = r["open"]["bucket"]
+            left[r["source"]] -= r["taken"]
+            if level == LEVELS - 1 and r["open"] is not None and r["open"]["tokens"] - left[r["source"]] < left[r["source"]]:
+                prefix[r["source"]] += 1  # the document at the boundary brings the sum nearer
+        seen = {r["source"] for r in rows}
+        for source in prefix.keys() - seen:  # past the last document of the level before
+            prefix[source] <<= BITS if level else 0
+    return prefix
 
 
 def mix(sized: DataFrame, targets: DataFrame, seed: str = "mix", total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, source, tokens, copies), plans) from ``sized`` (doc_id, source, tokens).
 
-    Targets are joined by broadcast: one row a source with a target, a table people write by hand.
+    The plan has one row a source with a target, a table people write by hand; more than ``MAX_TARGETS``
+    raise. It is the only thing the driver holds.
     """
     used = sized.where("tokens > 0 and source is not null")
     plans = cut(plan(used, targets, total))
-    keep = (1 << (BITS * LEVELS)) - 1
-    hashed = used.withColumn("h", F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit(keep)))
-    found = thresholds(hashed, plans)
-    marked = hashed.join(F.broadcast(plans.select("source", "passes")), "source").join(F.broadcast(found), "source", "left")
-    copies = F.col("passes") + F.coalesce((F.col("h") < F.col("below")).cast("long"), F.lit(0))
-    return marked.withColumn("copies", copies.cast("int")).where("copies > 0").select("doc_id", "source", "tokens", "copies"), plans
+    rows = plans.limit(MAX_TARGETS + 1).collect()
+    if len(rows) > MAX_TARGETS:
+        raise ValueError("too many sources with a target")
+    hashed = used.withColumn("h", F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit((1 << (BITS * LEVELS)) - 1)))
+    below = thresholds(hashed, {r["source"]: int(r["rest"]) for r in rows if r["rest"] > 0})
+    passes = _lookup({r["source"]: int(r["passes"]) for r in rows}, F.col("source"))
+    extra = F.coalesce((F.col("h") < _lookup(below, F.col("source"))).cast("long"), F.lit(0))
+    return hashed.withColumn("copies", (passes + extra).cast("int")).where("copies > 0").select("doc_id", "source", "tokens", "copies"), plans
 
 
 def shares(mixed: DataFrame, plans: DataFrame) -> DataFrame:

@@ -25,8 +25,7 @@ def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf, "documents", "doc_id", "text", "source")
     targets = table(spark, sf, "mix_targets", "source", "target_share", "max_repeats")
     aimed = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-    counts = bpe.encode(aimed).select("doc_id", F.size("ids").cast("long").alias("tokens"))
-    sized = cut(aimed.select("doc_id", "source").join(counts, "doc_id"))
+    sized = cut(bpe.encode(aimed, keep=("source",)).select("doc_id", "source", F.size("ids").cast("long").alias("tokens")))
     return mixing.mix(sized, targets)
 
 
