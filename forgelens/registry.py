@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from forgelens.plans import dataset, drift, history, stats
+from forgelens.plans import dataset, drift, history, io, models, stats
 
-BOOKS = (history.book, dataset.book, stats.book)
+BOOKS = (history.book, dataset.book, stats.book, models.book, io.book)
 
 
 def queries() -> dict:
