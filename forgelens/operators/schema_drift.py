@@ -167,6 +167,16 @@ def lifespans(fields: DataFrame) -> DataFrame:
     return marked.groupBy("stream_name", "field", "island").agg(F.first("kind").alias("kind"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("files"), F.first("last").alias("last")).drop("island")
 
 
+def _goes_on(old: Column, new: Column) -> Column:
+    """Whether two sets of values share one, or hold numbers of 10 or more that differ by 1 or 2 percent at most: counts grow."""
+    def near(a: Column, b: Column) -> Column:
+        x, y = a.try_cast("double"), b.try_cast("double")
+        most = F.greatest(F.abs(x), F.abs(y))
+        return F.coalesce((most >= 10) & (F.abs(x - y) <= F.greatest(F.lit(1.0), 0.02 * most)), F.lit(False))
+
+    return F.arrays_overlap(old, new) | F.exists(old, lambda a: F.exists(new, lambda b: near(a, b)))
+
+
 def _canonical(name: Column) -> Column:
     pairs = [x for canon, (_, names) in ALIASES.items() for n in (canon, *names) for x in (F.lit(n), F.lit(canon))]
     return F.create_map(*pairs)[name]
@@ -185,7 +195,7 @@ def changes(snapshots: DataFrame) -> DataFrame:
     typed = lagged.where("before = seq - 1 and kind <> old_kind").select("stream_name", "seq", F.col("field").alias("field_name"), F.lit("type_changed").alias("change_kind"), F.lit(None).cast("string").alias("old_name"), "old_kind", F.col("kind").alias("new_kind"))
 
     # values of fields that end or start at a file, by record key
-    placed = seen.where("field is not null and value is not null and key is not null").join(files.select("stream_name", "batch_file", "seq"), ["stream_name", "batch_file"]).groupBy("stream_name", "seq", "field", "key").agg(F.collect_set(F.xxhash64("value")).alias("values"))
+    placed = seen.where("field is not null and value is not null and key is not null").join(files.select("stream_name", "batch_file", "seq"), ["stream_name", "batch_file"]).groupBy("stream_name", "seq", "field", "key").agg(F.collect_set(F.when(F.length("value") <= 40, F.col("value")).otherwise(F.md5("value"))).alias("values"))
     both = removed.select("stream_name", "seq").distinct().join(added.select("stream_name", "seq").distinct(), ["stream_name", "seq"], "left_semi")
     old = removed.join(both, ["stream_name", "seq"], "left_semi").select("stream_name", "seq", F.col("field").alias("old_name"), F.col("kind").alias("old_kind"))
     new = added.join(both, ["stream_name", "seq"], "left_semi").select("stream_name", "seq", F.col("field").alias("new_name"), F.col("kind").alias("new_kind"))
@@ -193,7 +203,7 @@ def changes(snapshots: DataFrame) -> DataFrame:
     v_new = new.join(placed.select("stream_name", "seq", F.col("field").alias("new_name"), "key", F.col("values").alias("v_new")), ["stream_name", "seq", "new_name"])
     scored = (
         v_old.join(v_new, ["stream_name", "seq", "key"]).groupBy("stream_name", "seq", "old_name", "new_name", "old_kind", "new_kind")
-        .agg(F.avg(F.arrays_overlap("v_old", "v_new").cast("double")).alias("share"), F.count("*").alias("compared"), F.count_distinct("v_new").alias("different"))
+        .agg(F.avg(_goes_on(F.col("v_old"), F.col("v_new")).cast("double")).alias("share"), F.count("*").alias("compared"), F.count_distinct("v_new").alias("different"))
     )
     options = old.join(new, ["stream_name", "seq"]).join(scored.select("stream_name", "seq", "old_name", "new_name", "share", "compared", "different"), ["stream_name", "seq", "old_name", "new_name"], "left")
     alias = _canonical(F.col("old_name")).eqNullSafe(_canonical(F.col("new_name"))) & _canonical(F.col("new_name")).isNotNull()

@@ -40,6 +40,12 @@ def test_other_values_are_no_rename(spark):
     assert found(snapshots(spark, [one, two])) == [("s/2", "stars", "removed"), ("s/2", "watchers", "added")]
 
 
+def test_growing_counts_are_a_rename(spark):
+    one = [{"full_name": n, "stars": 500 + i * 70} for i, n in enumerate(names(8))]
+    two = [{"full_name": n, "star_count": 502 + i * 70} for i, n in enumerate(names(8))]
+    assert found(snapshots(spark, [one, two])) == [("s/2", "star_count", "renamed")]
+
+
 def test_strays_nulls_notation_and_unreadable(spark):
     one = [{"full_name": n, "stars": i, "created_at": "2020-01-02 03:04:05"} for i, n in enumerate(names(6))]
     two = [{"full_name": n, "stars": i if i else "many", "created_at": "02/01/2020 03:04"} for i, n in enumerate(names(6))] + ['{"full_name": "o/p1", "sta', None, "[1]"]
