@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.session import cut
+
 WEAK_DOCUMENTS = 3  # a weak phrase counts when its message occurs in this many documents
 
 # Names of slots that templates leave open, as regular expression words.
@@ -107,5 +109,5 @@ def judged(found: DataFrame) -> DataFrame:
 
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kind) of documents with residue, the least kind by name where several apply."""
-    found = messages(documents)
+    found = cut(messages(documents))  # a small part of the texts; the patterns are run once
     return found.select("doc_id", "h").join(judged(found).select("h", "kind"), "h").groupBy("doc_id").agg(F.min("kind").alias("kind"))
