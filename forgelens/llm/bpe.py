@@ -1,14 +1,14 @@
 """Encoding with a public byte-level BPE vocabulary, by Spark's higher-order functions.
 
-A text is cut into words by the vocabulary's pattern. Words that are tokens themselves are looked up in
+A text is cut into words by the vocabulary's pattern. ASCII words that are tokens are looked up in
 a literal rank map and never leave their row, so frequent words cause no shuffle. All other words are
 made distinct over the whole corpus, and a fold merges each one's bytes: the state is a string of
 bracketed hex pieces, each step replaces the adjacent pair of lowest rank everywhere it stands (a pair
 made by a merge always ranks higher than it, so this equals merging one pair at a time). The results
 join back by word, and a document's pieces are put in order by position.
 
-The rank map is a literal: an array of small maps, indexed by CRC-32 of the piece, so a lookup is a
-constant number of comparisons. Its size is that of the vocabulary. Decoding concatenates the pieces.
+The rank map is a literal: an array of small maps, indexed by CRC-32 of the piece, so a lookup compares
+about 12 keys. Its size is that of the vocabulary. Decoding concatenates the pieces.
 
 Defined cases: empty and null texts have the empty list of ids; strings that look like special tokens
 are ordinary text; texts and words of any length are encoded whole (a fold step is linear in the word);
@@ -26,32 +26,46 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.session import cut
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SLOTS = 1 << 11  # few enough objects to send with every task, small enough maps to scan
+SLOTS = 1 << 11
 
 # The pattern of the vocabulary, with white space as in Unicode.
 _S = r"\p{IsWhite_Space}"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?!\P{{IsWhite_Space}})|{_S}+"
+PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}++| ?\p{{N}}++| ?[^{_S}\p{{L}}\p{{N}}]++|{_S}+(?!\P{{IsWhite_Space}})|{_S}+"
 
 
 @lru_cache(maxsize=4)
-def _tables(path: str) -> tuple[str, str]:
-    """The rank map and the list of pieces, as JSON, keyed by hex."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+def _tables(path: str) -> tuple[str, str, str]:
+    """As JSON: ranks of whole words by text, ranks of pieces by hex, and the list of pieces."""
+    words: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+    hexes: list[dict[str, int]] = [{} for _ in range(SLOTS)]
     pieces: dict[int, str] = {}
     with open(path, "rb") as lines:
         for line in lines:
-            token, rank = line.split()
-            piece = base64.b64decode(token).hex().upper()
-            slots[zlib.crc32(piece.encode()) % SLOTS][piece] = int(rank)
-            pieces[int(rank)] = piece
-    return json.dumps(slots, separators=(",", ":")), json.dumps([pieces.get(i, "") for i in range(max(pieces) + 1)])
+            token, number = line.split()
+            raw, rank = base64.b64decode(token), int(number)
+            pieces[rank] = piece = raw.hex().upper()
+            hexes[zlib.crc32(piece.encode()) % SLOTS][piece] = rank
+            if raw.isascii():  # words of other letters are folded; plan texts then stay one byte a character
+                words[zlib.crc32(raw) % SLOTS][raw.decode()] = rank
+    return json.dumps(words), json.dumps(hexes), json.dumps([pieces.get(i, "") for i in range(max(pieces) + 1)])
+
+
+def _rank(piece: Column, slots_json: str) -> Column:
+    slots = F.from_json(F.lit(slots_json), "array<map<string,int>>")  # foldable: a literal in the plan
+    return F.try_element_at(F.get(slots, (F.crc32(piece) % SLOTS).cast("int")), piece)
+
+
+def rank_of_word(word: Column, path: str = DEFAULT_VOCABULARY) -> Column:
+    """The id of a word of ASCII characters that is a token as it stands, null otherwise."""
+    return _rank(word, _tables(path)[0])
 
 
 def rank_of(piece: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """The rank (and id) of a hex piece, null if it is no token."""
-    slots = F.from_json(F.lit(_tables(path)[0]), "array<map<string,int>>")  # foldable: a literal in the plan
-    return F.try_element_at(F.get(slots, (F.crc32(piece) % SLOTS).cast("int")), piece)
+    return _rank(piece, _tables(path)[1])
 
 
 def _pieces(state: Column) -> Column:
@@ -88,16 +102,19 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     held = [f"kept_{i}" for i in range(len(keep))]
     base = documents.select(F.col(key).alias("k_"), F.coalesce(F.col(text), F.lit("")).alias("t_"), *kept)
     words = F.regexp_extract_all(F.col("t_"), F.lit(PATTERN), F.lit(0))
-    looked = base.select("k_", *held, F.xxhash64("t_").alias("h_"), F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"), rank_of(F.hex(F.encode(w, "UTF-8")), path).alias("id"))).alias("ws"))
-    hits = looked.select("k_", "h_", *held, F.transform(F.filter("ws", lambda w: w["id"].isNotNull()), lambda w: F.struct(w["pos"].alias("pos"), F.array(w["id"]).alias("ids"))).alias("hits"))
-    missing = looked.select("k_", "h_", F.explode(F.filter("ws", lambda w: w["id"].isNull())).alias("w")).select("k_", "h_", "w.pos", "w.word").distinct()
+    looked = base.select("k_", *held, F.xxhash64("t_").alias("h_"), F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"), rank_of_word(w, path).alias("id"))).alias("ws"))
+    there = F.filter("ws", lambda w: w["id"].isNotNull())
+    hits = looked.select("k_", "h_", *held, F.transform(there, lambda w: w["pos"]).alias("at"), F.transform(there, lambda w: w["id"]).alias("ids"))
+    missing = cut(looked.select("k_", "h_", F.explode(F.filter("ws", lambda w: w["id"].isNull())).alias("w")).select("k_", "h_", "w.pos", "w.word").distinct())
     folded = missing.select("word").distinct().select("word", merged(F.hex(F.encode("word", "UTF-8")), path).alias("ids"))
     back = missing.join(folded, "word").groupBy("k_", "h_").agg(F.collect_list(F.struct("pos", "ids")).alias("misses"))
-    every = F.concat("hits", F.coalesce("misses", F.array().cast("array<struct<pos:int,ids:array<int>>>")))
-    return hits.join(back, ["k_", "h_"], "left").select(F.col("k_").alias(key), *[F.col(h).alias(c) for h, c in zip(held, keep)], F.flatten(F.transform(F.array_sort(every), lambda x: x["ids"])).alias("ids"))
+    own = F.zip_with("at", "ids", lambda p, i: F.struct(p.alias("pos"), F.array(i).alias("ids")))
+    every = F.array_sort(F.concat(own, "misses"))
+    ids = F.when(F.col("misses").isNull(), F.col("ids")).otherwise(F.flatten(F.transform(every, lambda x: x["ids"])))
+    return hits.join(back, ["k_", "h_"], "left").select(F.col("k_").alias(key), *[F.col(h).alias(c) for h, c in zip(held, keep)], ids.alias("ids"))
 
 
 def decode(ids: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """The text of a list of ids: pieces concatenated as bytes, then read as UTF-8."""
-    pieces = F.from_json(F.lit(_tables(path)[1]), "array<string>")
+    pieces = F.from_json(F.lit(_tables(path)[2]), "array<string>")
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), "UTF-8")
