@@ -8,7 +8,7 @@ gives the table), and because hand labels, noisy as they are, shift the topic pr
 The fitted model then gives the topic proportions of every sentence and of the tags, and a project gets
 the one or two subjects that its sentences show.
 
-Bounds: words are hashed into ``BUCKETS`` buckets, so the model (buckets x topics doubles, 5 MB) has the
+Bounds: words are hashed into ``BUCKETS`` buckets, so the model (buckets x topics doubles, 21 MB) has the
 same size for any corpus; the driver holds the model, never documents. Labels beyond ``MAX_LABELS`` rows
 (taken in hash order) are not used; every project is read for fitting and every project is assigned.
 
@@ -34,7 +34,7 @@ from forgelens.session import cut
 SUBJECTS = ("AI/ML", "Web", "Data", "DevOps/CLI", "Security", "Desktop", "Mobile", "Robotics", "Diger")
 OTHER = "Diger"
 TOPICS = len(SUBJECTS) + 1  # the last is background
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 ROUNDS = 14
 MAX_LABELS = 200_000
 ANCHOR = 60.0  # prior count of an anchor term in its topic
