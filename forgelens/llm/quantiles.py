@@ -9,7 +9,7 @@ Sketches of partitions or days merge by concatenating levels and compacting agai
 Tables of sketches have one row per key: ``items`` and the level of each in ``levels``, and the
 compaction counter of every level in ``steps``. Which half survives is decided by a hash of counter
 and level, never by a random generator. A sketch of at most ``capacity(0)`` items was never compacted
-and is exact; such sketches are built, merged and read inside the JVM, and Python sees only larger ones.
+and is exact; such rows pass through the Arrow stages as they are, and only larger ones are compacted.
 
 Defined cases: null and NaN values are left out; infinities count as values; groups without values
 and empty tables give no row; the null group is a group.
@@ -190,8 +190,8 @@ def build(df: DataFrame, keys: Sequence[str], value: str, section: int = SECTION
 def merge(sketches: DataFrame, keys: Sequence[str], section: int = SECTION, protect: str = "high") -> DataFrame:
     """Merge every sketch that shares ``keys`` (fewer than the sketches were built by, if wanted).
 
-    Levels are concatenated by a JVM aggregate; only keys that then exceed a sketch's first capacity go
-    to Python to compact. A key has at most a few sketches per task and finer key, of a few kilobytes each.
+    Levels are concatenated by a JVM aggregate; only rows that then exceed a sketch's first capacity are
+    compacted. A key has at most a few sketches per task and finer key, of a few kilobytes each.
     """
     keys = list(keys)
     schema = T.StructType(_key_fields(sketches, keys) + BODY)
