@@ -273,7 +273,7 @@ def jn3_szz_fallback(spark, sf):
 
 @book("jn5_project_dim", "with d as (select project_name, max(stars) stars_max, max(contributor_count) contributors from file_facts group by project_name) select f.row_id, stars_max, contributors from file_facts f join d on f.project_name is not distinct from d.project_name")
 def jn5_project_dim(spark, sf):
-    """Project values on every row, without repeating the fact table's shuffle: window over the project."""
+    """Project values on every row: the dimension is aggregated first, then joined null-safely."""
     d = facts(spark, sf, "project_name", "stars", "contributor_count").groupBy(F.col("project_name").alias("p_")).agg(F.max("stars").alias("stars_max"), F.max("contributor_count").alias("contributors"))
     return facts(spark, sf, "row_id", "project_name").join(d, F.col("project_name").eqNullSafe(F.col("p_"))).select("row_id", "stars_max", "contributors")
 
