@@ -6,9 +6,10 @@ machine numbered). Files without such evidence are compared with those of other
 near copies (five-word shingles, Jaccard similarity 0.8 or more) are libraries that someone carried in.
 
 Near copies are found with MinHash bands. Files with equal shingles form a class first, so a group of
-copies of any size costs one row afterwards. Within a band bucket every class is compared with the
-bucket's most copied class, its least class, and its neighbour in hash order, never with all; the
-similarity of such candidates is computed exactly from the texts.
+copies of any size costs one row afterwards. Within a band bucket every class is first compared with the
+bucket's most copied class and with its first and last by project, of which one is of another project;
+classes that this leaves unjudged are compared with all classes of other projects in their buckets. The
+similarity of candidates is computed exactly from the texts.
 
 Defined cases: null content gives no evidence; files whose path does not end in .py or .js are never
 flagged; repeated rows are each flagged; a null project is a project of its own.
@@ -27,7 +28,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from forgelens.llm.splits import canonical_name
 from forgelens.session import cut
@@ -246,8 +246,8 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         key = (key ^ (sig[:, r] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
                     key += np.arange(BANDS, dtype=np.uint64)
                 bands = key.astype(np.int64).tolist()
-            rows.append((file_id, entity, kind, rule, digest, bands))
-        yield pd.DataFrame(rows, columns=["file_id", "entity", "kind", "rule", "digest", "bands"]).astype({"digest": "Int64"})
+            rows.append((file_id, entity, kind, rule, digest, len(h), bands))
+        yield pd.DataFrame(rows, columns=["file_id", "entity", "kind", "rule", "digest", "size", "bands"]).astype({"digest": "Int64"})
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,11 +262,36 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def evidence(files: DataFrame) -> DataFrame:
-    """(file_id, entity, kind, rule, digest, bands): what one pass over a file's header, path and text tells."""
+    """(file_id, entity, kind, rule, digest, size, bands): what one pass over a file's header, path and text tells."""
     chosen = files.select(
         "file_id", F.coalesce(canonical_name(F.col("project_name")), F.lit("<null>")).alias("entity"), "file_path", F.col("content").alias("content_")
     ).where("lower(file_path) rlike '[.](py|js)$' and content_ is not null")
-    return chosen.mapInPandas(_evidence, "file_id long, entity string, kind string, rule string, digest long, bands array<long>")
+    return chosen.mapInPandas(_evidence, "file_id long, entity string, kind string, rule string, digest long, size long, bands array<long>")
+
+
+def _candidates(asked: DataFrame) -> DataFrame:
+    """(da, db, a, b) of the distinct pairs of a class and its ``o`` that would flag it, by digest and file; sizes too far apart cannot be alike."""
+    mine = F.col("digest") < F.col("o.digest")
+    return asked.where(
+        f"o.digest <> digest and (o.library = 1 or o.e0 <> e0 or o.e1 <> e1) and least(size, o.size) >= {SIMILARITY}D * greatest(size, o.size)"
+    ).select(
+        F.least("digest", "o.digest").alias("da"), F.greatest("digest", "o.digest").alias("db"), F.when(mine, F.col("rep")).otherwise(F.col("o.rep")).alias("a"), F.when(mine, F.col("o.rep")).otherwise(F.col("rep")).alias("b")
+    ).distinct()
+
+
+def _verified(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The candidate pairs whose texts are alike."""
+    ids = pairs.select(F.col("a").alias("file_id")).union(pairs.select(F.col("b").alias("file_id"))).distinct()
+    texts = files.select("file_id", F.col("content").alias("t")).join(ids, "file_id", "left_semi")
+    checked = (
+        pairs.join(texts.select(F.col("file_id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("file_id").alias("b"), F.col("t").alias("tb")), "b")
+        .select("a", "b", "ta", "tb").mapInPandas(_similar, "a long, b long")
+    )
+    return checked.join(pairs, ["a", "b"]).select("da", "db")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("da").alias("digest")).union(pairs.select(F.col("db").alias("digest"))).distinct()
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
@@ -276,35 +301,22 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     comparable = seen.where("digest is not null")
     classes = cut(
         comparable.groupBy("digest").agg(
-            F.min("entity").alias("e0"), F.max("entity").alias("e1"), F.count("*").alias("copies"), F.min("file_id").alias("rep"), F.first("bands").alias("bands"),
-            F.max(((F.col("kind") == "library") | (F.col("rule") == "vendored")).cast("int")).alias("library"),
+            F.min("entity").alias("e0"), F.max("entity").alias("e1"), F.count("*").alias("copies"), F.min("file_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"),
+            F.max(F.coalesce((F.col("kind") == "library") | (F.col("rule") == "vendored"), F.lit(False)).cast("int")).alias("library"),
         )
     )
-    buckets = classes.select("digest", "rep", "copies", "e0", "e1", F.coalesce("library", F.lit(0)).alias("library"), F.explode("bands").alias("band"))
+    one = F.struct("digest", "rep", "e0", "e1", "size", "library")
+    buckets = classes.select("digest", "rep", "copies", "e0", "e1", "size", "library", F.explode("bands").alias("band"))
     lead = buckets.groupBy("band").agg(
-        F.max(F.struct("library", "copies", "digest", "rep", "e0", "e1")).alias("top"), F.min(F.struct("digest", "rep", "e0", "e1")).alias("low"), F.count("*").alias("n")
-    ).where("n > 1")
-    near = buckets.join(lead, "band").withColumn("prev", F.lag(F.struct("digest", "rep", "e0", "e1")).over(Window.partitionBy("band").orderBy("digest")))
-    ends = F.array(F.struct(F.col("top.digest").alias("digest"), F.col("top.rep").alias("rep"), F.col("top.e0").alias("e0"), F.col("top.e1").alias("e1")), F.col("low"), F.col("prev"))
-    pairs = (
-        near.select("digest", "rep", "e0", "e1", F.explode(ends).alias("o")).where("o is not null and o.digest <> digest")
-        .select(F.least("digest", "o.digest").alias("da"), F.greatest("digest", "o.digest").alias("db"), F.when(F.col("digest") < F.col("o.digest"), F.col("rep")).otherwise(F.col("o.rep")).alias("a"), F.when(F.col("digest") < F.col("o.digest"), F.col("o.rep")).otherwise(F.col("rep")).alias("b"))
-        .distinct()
-    )
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("file_id")).union(pairs.select(F.col("b").alias("file_id"))).distinct()
-    texts = files.select("file_id", F.col("content").alias("t")).join(ids, "file_id", "left_semi")
-    checked = (
-        pairs.join(texts.select(F.col("file_id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("file_id").alias("b"), F.col("t").alias("tb")), "b")
-        .select("a", "b", "ta", "tb").mapInPandas(_similar, "a long, b long")
-    )
-    alike = cut(checked.join(pairs, ["a", "b"]).select("da", "db"))
-    around = alike.select(F.col("da").alias("digest"), F.col("db").alias("other")).union(alike.select(F.col("db").alias("digest"), F.col("da").alias("other")))
-    others = classes.select(F.col("digest").alias("other"), F.col("e0").alias("f0"), F.col("e1").alias("f1"), F.coalesce("library", F.lit(0)).alias("flib"))
-    shared = (
-        around.join(others, "other").join(classes.select("digest", "e0", "e1"), "digest")
-        .where("flib = 1 or f0 <> e0 or f1 <> e1").select("digest")
-        .union(classes.where("e0 <> e1 or library = 1").select("digest")).distinct()
-    )
+        F.max_by(one, F.struct("library", "copies", "digest")).alias("top"), F.min_by(one, F.struct("e0", "digest")).alias("first"), F.max_by(one, F.struct("e1", "digest")).alias("last"), F.count("*").alias("n")
+    ).where("n > 1 and (first.e0 <> last.e1 or top.library = 1)")
+    mixed = cut(buckets.join(lead.drop("n"), "band"))  # buckets in which a pair could tell something
+    asking = mixed.where("e0 = e1 and library = 0")
+    leaders = cut(_candidates(asking.withColumn("o", F.explode(F.array("top", "first", "last")))))
+    alike = _verified(files, leaders)
+    settled = cut(_ends(alike))
+    left = asking.join(settled, "digest", "left_anti").drop("top", "first", "last")
+    rest = cut(_candidates(left.join(mixed.select("band", one.alias("o")), "band")).join(leaders, ["da", "db"], "left_anti"))
+    shared = settled.union(_ends(_verified(files, rest))).union(classes.where("e0 <> e1 or library = 1").select("digest")).distinct()
     copied = comparable.join(shared, "digest", "left_semi").select("file_id", F.lit("copy").alias("reason"))
     return own.union(copied).groupBy("file_id").agg(F.min("reason").alias("reason"))

@@ -80,3 +80,20 @@ def test_copies_and_paths(spark):
     df = spark.createDataFrame(files, "file_id long, project_name string, file_path string, content string")
     assert rows(handwritten.not_handwritten(df), "file_id", "reason") == [(1, "copy"), (2, "copy"), (7, "vendored")]
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
+
+
+def test_variants_of_one_project_meet_the_copy_in_another(spark):
+    words = [f"w{i}" for i in range(400)]
+
+    def variant(k):
+        w = list(words)
+        for i in range(4):
+            w[(k * 7 + i * 97) % 400] = f"v{k}_{i}"
+        return "\n".join(f"{a} = {b}" for a, b in zip(w[::2], w[1::2])) + "\n"
+
+    files = [(k, "a/a", f"src/m{k}.py", variant(k)) for k in range(60)] + [(100, "b/b", "lib/m.py", "\n".join(f"{a} = {b}" for a, b in zip(words[::2], words[1::2])) + "\n"), (200, "a/a", "src/z.py", code(3)), (201, "a/a", "src/y.py", code(3).replace("value", "other", 2))]
+    df = spark.createDataFrame(files, "file_id long, project_name string, file_path string, content string")
+    whole = {f[0]: set(handwritten.shingles(f[3]).tolist()) for f in files}
+    near = [k for k in range(60) if len(whole[k] & whole[100]) >= handwritten.SIMILARITY * len(whole[k] | whole[100])]
+    assert len(near) == 60
+    assert [r[0] for r in rows(handwritten.not_handwritten(df), "file_id")] == [*range(60), 100]
