@@ -4,20 +4,22 @@ Code (fenced, indented, inline), quotations and quoted strings are taken out fir
 or quotes is no residue. The rest falls into lines and sentences; those with any cue are normalised
 (numbers, addresses, dates and hex codes masked, case and blanks folded) and grouped by exact hash over
 all sources, so that each distinct message is judged once, with the number of documents and sources it
-occurs in. Placeholder and phrase rules judge a message; weak phrases count only when the message recurs.
+occurs in. Placeholder and phrase rules judge a message; weak phrases count beside other residue of the
+document, or when the message recurs.
 
 Defined cases: null, empty and blank texts are never found; repeated rows are each found; a null source
-counts as a source; very long texts are read whole; nothing but ``doc_id``, ``text`` and ``source`` is read.
+counts as a source and rows with a null ``doc_id`` as one document; very long texts are read whole; nothing but ``doc_id``, ``text`` and ``source`` is read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from forgelens.session import cut
 
-WEAK_DOCUMENTS = 3  # a weak phrase counts when its message occurs in this many documents
+WEAK_DOCUMENTS = 3  # a weak phrase that stands alone counts when its message occurs in this many documents
 
 # Names of slots that templates leave open, as regular expression words.
 SLOT = r"(?:your|insert|add|enter|fill|name|title|version|date|year|company|org|organi[sz]ation|team|author|maintainer|owner|holder|licen[cs]e|url|link|email|e-mail|address|description|project|repo|repository|screenshot|here|buraya|yazın|hier|einfügen|aquí|insertar|todo|tbd)"
@@ -107,7 +109,25 @@ def judged(found: DataFrame) -> DataFrame:
     return kinds.where((F.col("kind") != "weak") | (F.col("documents") >= WEAK_DOCUMENTS)).select("h", "kind", "norm", "documents", "sources")
 
 
+def residue_lines(found: DataFrame) -> DataFrame:
+    """(doc_id, source, norm, kind) of the lines that are residue.
+
+    Each distinct line is judged once. A weak one counts beside another residue message of its document,
+    however large the table is, or when its message recurs.
+    """
+    distinct = found.groupBy("h").agg(F.first("raw").alias("raw"), F.first("norm").alias("norm"))
+    kind = (
+        F.when(F.col("raw").rlike(_any(PLACEHOLDERS)), "placeholder").when(F.col("norm").rlike(_any(ERRORS)), "error_page")
+        .when(F.col("norm").rlike(_any(SCRIPTS)), "script_notice").when(F.col("norm").rlike(_any(WEAK)), "weak")
+    )
+    kinds = distinct.select("h", kind.alias("kind")).where("kind is not null")
+    document = Window.partitionBy("doc_id")
+    lines = found.join(kinds, "h").select("doc_id", "source", "norm", "kind", (F.min("norm").over(document) != F.max("norm").over(document)).alias("beside"))
+    recur = lines.where("kind = 'weak'").select("norm", "doc_id").distinct().groupBy("norm").agg(F.count("*").alias("n")).where(F.col("n") >= WEAK_DOCUMENTS).select("norm", F.lit(True).alias("recurs"))
+    return lines.join(recur, "norm", "left").where("kind <> 'weak' or beside or recurs").select("doc_id", "source", "norm", "kind")
+
+
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kind) of documents with residue, the least kind by name where several apply."""
     found = cut(messages(documents))  # a small part of the texts; the patterns are run once
-    return found.select("doc_id", "h").join(judged(found).select("h", "kind"), "h").groupBy("doc_id").agg(F.min("kind").alias("kind"))
+    return residue_lines(found).groupBy("doc_id").agg(F.min("kind").alias("kind"))

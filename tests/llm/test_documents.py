@@ -32,6 +32,13 @@ def test_weak_phrases_need_recurrence(spark):
     assert rows(residue.residue(many), "doc_id", "kind") == [(0, "weak"), (1, "weak"), (2, "weak")]
 
 
+def test_weak_phrases_beside_each_other_need_no_recurrence(spark):
+    texts = [(1, "Your session has expired. Sign in again to go on."), (2, "We hit a snag. We hit a snag."), (3, "Please come back later\n\n503 Service Unavailable")]
+    repeated = [(4, "Nothing to see here\nNothing to see here\nNothing to see here")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in texts + repeated], "doc_id long, text string, source string")
+    assert rows(residue.residue(df), "doc_id", "kind") == [(1, "weak"), (3, "error_page")]
+
+
 def test_ids_equal_the_public_tokenizer(spark):
     import base64
 
