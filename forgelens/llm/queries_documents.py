@@ -19,8 +19,8 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """The residue messages themselves, with how often they occur."""
-    return residue.judged(residue.messages(_documents(spark, sf))).groupBy("kind", "norm").agg(F.sum("documents").alias("documents"), F.max("sources").alias("sources"))
+    """The masked residue messages, with the documents and sources they are residue in."""
+    return residue.recurrence(_documents(spark, sf))
 
 
 def _discovery(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,10 @@
 
 Code (fenced, indented, inline), quotations and quoted strings are taken out first: what a text shows
 or quotes is no residue. The rest falls into lines and sentences; those with any cue are normalised
-(numbers, addresses, dates and hex codes masked, case and blanks folded) and grouped by exact hash over
-all sources, so that each distinct message is judged once, with the number of documents and sources it
-occurs in. Placeholder and phrase rules judge a message; weak phrases count beside other residue of the
-document, or when the message recurs.
+(numbers, addresses, dates and hex codes masked, case and blanks folded). Each distinct line is judged
+once: placeholder rules judge it as it stands, phrase rules as it is masked; weak phrases count beside
+other residue of the document, or when the masked message recurs. Masked messages of one kind are one
+group, with the exact number of documents and sources they are residue in.
 
 Defined cases: null, empty and blank texts are never found; repeated rows are each found; a null source
 counts as a source and rows with a null ``doc_id`` as one document; very long texts are read whole; nothing but ``doc_id``, ``text`` and ``source`` is read.
@@ -97,18 +97,6 @@ def messages(documents: DataFrame) -> DataFrame:
     return lines.withColumn("norm", normalised(F.col("raw"))).withColumn("h", F.xxhash64("raw"))
 
 
-def judged(found: DataFrame) -> DataFrame:
-    """(h, kind, documents, sources): the messages that are residue, each judged once."""
-    groups = found.groupBy("h").agg(F.first("raw").alias("raw"), F.first("norm").alias("norm"), F.approx_count_distinct("source").alias("sources"))
-    recur = found.select("norm", "doc_id").groupBy(F.xxhash64("norm").alias("nh")).agg(F.count("*").alias("documents"))
-    kind = (
-        F.when(F.col("raw").rlike(_any(PLACEHOLDERS)), "placeholder").when(F.col("norm").rlike(_any(ERRORS)), "error_page")
-        .when(F.col("norm").rlike(_any(SCRIPTS)), "script_notice").when(F.col("norm").rlike(_any(WEAK)), "weak")
-    )
-    kinds = groups.withColumn("kind", kind).where("kind is not null").withColumn("nh", F.xxhash64("norm")).join(recur, "nh")
-    return kinds.where((F.col("kind") != "weak") | (F.col("documents") >= WEAK_DOCUMENTS)).select("h", "kind", "norm", "documents", "sources")
-
-
 def residue_lines(found: DataFrame) -> DataFrame:
     """(doc_id, source, norm, kind) of the lines that are residue.
 
@@ -131,3 +119,9 @@ def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kind) of documents with residue, the least kind by name where several apply."""
     found = cut(messages(documents))  # a small part of the texts; the patterns are run once
     return residue_lines(found).groupBy("doc_id").agg(F.min("kind").alias("kind"))
+
+
+def recurrence(documents: DataFrame) -> DataFrame:
+    """(kind, norm, documents, sources) of every masked residue message: the distinct documents and sources it is residue in."""
+    each = residue_lines(cut(messages(documents))).select("kind", "norm", "doc_id", "source").distinct()
+    return each.groupBy("kind", "norm").agg(F.count_distinct(F.struct("doc_id")).alias("documents"), F.count_distinct(F.struct("source")).alias("sources"))

@@ -39,6 +39,13 @@ def test_weak_phrases_beside_each_other_need_no_recurrence(spark):
     assert rows(residue.residue(df), "doc_id", "kind") == [(1, "weak"), (3, "error_page")]
 
 
+def test_message_counts_are_of_the_masked_message(spark):
+    texts = [(i, f"Wait {i} seconds and reload\nWait {i + 50} seconds and reload", f"s{i % 3}") for i in range(7)] + [(7, "wait 3  seconds and reload", None), (7, "wait 3 seconds and reload", None)]
+    texts += [(20, "Set [NAME] there", "s0"), (21, "Set [name] there", "s1"), (22, "set [NAME] there", "s1")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    assert rows(residue.recurrence(df), "kind", "norm", "documents", "sources") == [("error_page", "wait # seconds and reload", 8, 4), ("placeholder", "set [name] there", 3, 2)]
+
+
 def test_ids_equal_the_public_tokenizer(spark):
     import base64
 
