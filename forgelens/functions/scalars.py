@@ -42,7 +42,8 @@ def kappa_band(k: Column) -> Column:
 
 def age_days(created: Column, as_of: str) -> Column:
     """Days since an ISO date text, at least 1; 365 when it cannot be read."""
-    return F.coalesce(F.greatest(F.datediff(F.lit(as_of).cast("date"), F.to_date(F.try_to_timestamp(F.substring(created, 1, 10), F.lit("yyyy-MM-dd")))), F.lit(1)), F.lit(365))
+    days = F.datediff(F.lit(as_of).cast("date"), F.to_date(F.try_to_timestamp(F.substring(created, 1, 10), F.lit("yyyy-MM-dd"))))
+    return F.when(days.isNull(), 365).otherwise(F.greatest(days, F.lit(1)))  # greatest alone passes over nulls
 
 
 def bug_fix_density(n: Column, kloc: Column, years: Column) -> Column:

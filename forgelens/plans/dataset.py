@@ -124,7 +124,7 @@ def pj9_full_name(spark, sf):
 
 @book("pj10_age_days", f"select discovery_id, coalesce(greatest(date_diff('day', try_strptime(substr(created_at, 1, 10), '%Y-%m-%d')::date, date '{AS_OF_DATE}'), 1), 365) age_days from discovery where created_at is null or regexp_full_match(substr(created_at, 1, 10), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')")
 def pj10_age_days(spark, sf):
-    d = table(spark, sf, "discovery", "discovery_id", "created_at").where(F.col("created_at").isNull() | F.substring("created_at", 1, 10).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
+    d = table(spark, sf, "discovery", "discovery_id", "created_at")
     return d.select("discovery_id", scalars.age_days(F.col("created_at"), AS_OF_DATE).cast("bigint").alias("age_days"))
 
 

@@ -185,3 +185,11 @@ def test_project_stats(spark):
     a = got["<all>"]
     assert (a.n_projects, a.n_files, a.total_loc, a.bug_keyword_rate, a.bug_szz_rate, a.avg_commits_to_first_bug) == (3, 5, 1500, 0.6, 0.4, 7.0)
     assert (got["Web"].n_files, got["Web"].n_projects) == (3, 2)
+
+
+def test_age_of_every_project(spark, tmp_path):
+    from forgelens.plans.dataset import pj10_age_days
+
+    dates = [None, "", "unknown", "2025-13-45", "2025-03-22T10:00:00Z", "2025-04-01", "2026-01-01"]
+    spark.createDataFrame(list(enumerate(dates)), "discovery_id long, created_at string").write.parquet(f"{tmp_path}/discovery.parquet")
+    assert rows(pj10_age_days(spark, str(tmp_path)), "discovery_id", "age_days") == [(0, 365), (1, 365), (2, 365), (3, 365), (4, 10), (5, 1), (6, 1)]
