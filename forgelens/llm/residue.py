@@ -64,7 +64,8 @@ SCRIPTS = (
 # Phrases that also occur in ordinary prose.
 WEAK = (r"^\W*nothing to see here\W*$", r"^\W*we hit a snag\W*$", r"^\W*your \w+ has expired\W*$", r"^please come back later\W*$", r"^go back or search for another \w+\W*$", r"^if this goes on, write to support\W*$", r"^sign in again to go on\W*$", r"^your browser blocks them\W*$", r"^gateway timeout\W*$")
 
-CUE = r"(?i)[{}<>\[\]%$~@#]|__|\(\(|XXX|undefined|\bnull\b|todo|tbd|fixme|to be (?:added|written)|will be (?:added|written)|replace this|here|buraya|place-?holder|lorem|text|metin|ダミー|占位|заполн|ersetzen|coming soon|construction|script|browser|robot|error|gateway|request|found|forbidden|gone|unavailable|unauthori|denied|allowed|wrong|exist|could not|cannot|can.t|moved|permission|access|handle|unexpected|out of|maintenance|upgrading|break|answer|used up|too many|disabled|dead|mistyped|nothing|respond|timed? ?out|encontrada|enlace|sayfa|sunucu|页|ページ|seite|serverfehler|verweigert|introuvable|trouvée|страниц|доступ|told|reload|snag|expired|later|go back|goes on|sign in|blocks|requis|etkin|включ|启用|开启|有効"
+# Stands before the rules, so whatever a rule can match must have one of these; a blank stands for any blanks, as they are folded later.
+CUE = r"(?iu)[{}<>\[\]%$~@#]|__|\(\(|XXX|undefined|\bnull\b| (?:null|none|nan)(?!\w)|todo|tbd|fixme|(?:to be|will be) (?:added|written|provided|inserted)|replace this|here|buraya|place-?holder|lorem|dolor|consectetur|text|metin|ダミー|占位|заполн|текст|ersetzen|coming soon|construction|script|browser|robot|human|error|gateway|request|looking for|found|forbidden|gone|unavailable|unauthori|denied|allowed|wrong|exist|could not|cannot|can.t|moved|permission|access|handle|unexpected|out of|maintenance|upgrading|break|answer|used up|too many|disabled|dead|mistyped|nothing|respond|timed?\s*out|encontrada|enlace|sayfa|sunucu|页|找不到|ページ|seite|serverfehler|verweigert|introuvable|trouvée|страниц|доступ|told|reload|snag|expired|later|go back|goes on|sign in|blocks|requis|etkin|включ|启用|开启|有効".replace(" ", r"\s+")
 
 
 def _any(patterns: tuple[str, ...]) -> str:

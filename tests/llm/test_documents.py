@@ -27,6 +27,22 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+CUED = [
+    "Dear None,", "Released by None", "Version nan", "Hello null!", "Details to be provided", "Section will be inserted", "dolor sit amet consectetur", "consectetur adipiscing", "рыба-текст", "Text text text.", "XXX", "Coming soon", "Replace this line", "Bitte ersetzen", "örnek metin", "占位符", "Buraya metin",
+    "Please verify that you are human.", "The page you are looking for has been deleted.", "找不到您要的内容", "Доступ запрещён", "Страница не найдена", "PAGE NON TROUVÉE", "Connection timed  out", "Sign  in again to go on.", "Please come back  later", "Включите JavaScript", "Temporarily out  of service", "You have used  up your hourly quota", "Go  back or search for another page",
+    "If this goes  on, write to support", "We have been told about it", "That link is dead", "This service is taking a short break", "Wait 3 seconds and reload", "Your session has expired", "We hit a snag", "Too  many requests.", "the wiki cannot be shown", "Repository unavailable", "Scripts required", "If nothing happens, allow them",
+]
+
+
+def test_every_rule_gets_past_the_cue(spark):
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*CUED, "A plain line of prose."])], "doc_id long, text string, source string")
+    found = {r.doc_id for r in residue.messages(df).collect()}
+    assert [t for i, t in enumerate(CUED) if i not in found] == [] and len(CUED) not in found
+    beside = spark.createDataFrame([(i, f"{t}\n503 Service Unavailable", "s") for i, t in enumerate(CUED)], "doc_id long, text string, source string")
+    judged = residue.residue_lines(residue.messages(beside)).where("norm not like '%service unavailable'").select("doc_id").distinct().count()
+    assert judged == len(CUED)  # each is an example of a rule
+
+
 def test_weak_phrases_need_recurrence(spark):
     many = spark.createDataFrame([(i, "Nothing to see here", "a") for i in range(3)] + [(9, "We hit a snag", "b")], "doc_id long, text string, source string")
     assert rows(residue.residue(many), "doc_id", "kind") == [(0, "weak"), (1, "weak"), (2, "weak")]
