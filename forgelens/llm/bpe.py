@@ -111,7 +111,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     own = F.zip_with("at", "ids", lambda p, i: F.struct(p.alias("pos"), F.array(i).alias("ids")))
     every = F.array_sort(F.concat(own, "misses"))
     ids = F.when(F.col("misses").isNull(), F.col("ids")).otherwise(F.flatten(F.transform(every, lambda x: x["ids"])))
-    return hits.join(back, ["k_", "h_"], "left").select(F.col("k_").alias(key), *[F.col(h).alias(c) for h, c in zip(held, keep)], ids.alias("ids"))
+    return hits.join(back, hits["k_"].eqNullSafe(back["k_"]) & (hits["h_"] == back["h_"]), "left").select(hits["k_"].alias(key), *[F.col(h).alias(c) for h, c in zip(held, keep)], ids.alias("ids"))
 
 
 def decode(ids: Column, path: str = DEFAULT_VOCABULARY) -> Column:

@@ -76,6 +76,13 @@ def test_ids_equal_the_public_tokenizer(spark):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
+def test_words_of_a_row_without_key_are_kept(spark):
+    texts = ["naïve café", "日本語 текст", "plain text", "naïve café"]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[0])], "doc_id long, text string")
+    got = bpe.encode(df).select("doc_id", bpe.decode(F.col("ids")).alias("back")).collect()
+    assert sorted(r.back for r in got if r.doc_id is None) == sorted(texts) and [r.back for r in got if r.doc_id == 1] == texts[:1]
+
+
 def mixed(spark, docs, targets, **k):
     s = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
