@@ -106,8 +106,6 @@ def header(text: str) -> str:
             out.append(s)
         else:
             break
-        if len(out) > 60:
-            break
     t = unicodedata.normalize("NFKD", "\n".join(out).lower().replace("ı", "i"))
     return "".join(c for c in t if not unicodedata.combining(c))
 
@@ -137,11 +135,6 @@ def shape(text: str, js: bool) -> str | None:
     size = len(text)
     if size < 200:
         return None
-    # C-speed counts that rule all three shapes out for ordinary code
-    marks = sum(map(text.count, ("return", "if ", "for ", "import ", "def ", "function ")))
-    blanks = text.count(" ") + text.count("\n")
-    if marks > 2 + size / 900 and blanks > 0.17 * size and not ("_0" in text and "_1" in text):
-        return None
     literal = 0
     starts: list[str] = []
 

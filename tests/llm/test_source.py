@@ -70,6 +70,13 @@ def test_shapes():
     assert handwritten.shape("LIMITS = [\n" + "".join(f"    ('name', {i}),  # why this one\n" for i in range(40)) + "]\n", False) is None
 
 
+def test_sentences_as_data_and_notices_below_a_long_licence():
+    sentences = "TEXTS = [\n" + "".join(f'    "if you return for item {i}, import it for the rest",\n' for i in range(60)) + "]\n"
+    assert handwritten.shape(sentences, False) == "data"
+    licence = "".join(f"# clause {i} of the licence\n" for i in range(90))
+    assert handwritten.notices(licence + "# Code generated by x. DO NOT EDIT.\nx = 1\n")[0]
+
+
 def test_copies_and_paths(spark):
     lib, other = code(5), code(7)
     near = lib.replace("value = arg.alpha", "value = arg.omega", 1)
