@@ -43,16 +43,15 @@ def test_every_rule_gets_past_the_cue(spark):
     assert judged == len(CUED)  # each is an example of a rule
 
 
-def test_weak_phrases_need_recurrence(spark):
-    many = spark.createDataFrame([(i, "Nothing to see here", "a") for i in range(3)] + [(9, "We hit a snag", "b")], "doc_id long, text string, source string")
-    assert rows(residue.residue(many), "doc_id", "kind") == [(0, "weak"), (1, "weak"), (2, "weak")]
+def test_weak_phrases_alone_are_the_whole_text(spark):
+    many = spark.createDataFrame([(i, "Nothing to see here", "a") for i in range(3)] + [(9, "We hit a snag", "b"), (10, "We hit a snag\n\nThe lamp is green.", "b")], "doc_id long, text string, source string")
+    assert rows(residue.residue(many), "doc_id", "kind") == [(i, "error_page") for i in (0, 1, 2, 9)]
 
 
 def test_weak_phrases_beside_each_other_need_no_recurrence(spark):
-    texts = [(1, "Your session has expired. Sign in again to go on."), (2, "We hit a snag. We hit a snag."), (3, "Please come back later\n\n503 Service Unavailable")]
-    repeated = [(4, "Nothing to see here\nNothing to see here\nNothing to see here")]
-    df = spark.createDataFrame([(i, t, "s") for i, t in texts + repeated], "doc_id long, text string, source string")
-    assert rows(residue.residue(df), "doc_id", "kind") == [(1, "weak"), (3, "error_page")]
+    texts = [(1, "Your session has expired. Sign in again to go on."), (2, "The lamp is green.\n\nWe hit a snag. We hit a snag."), (3, "Please come back later\n\n503 Service Unavailable"), (4, "The lamp is green.\n\nWe hit a snag. Please come back later.")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in texts], "doc_id long, text string, source string")
+    assert rows(residue.residue(df), "doc_id", "kind") == [(1, "error_page"), (3, "error_page"), (4, "error_page")]
 
 
 def test_message_counts_are_of_the_masked_message(spark):
