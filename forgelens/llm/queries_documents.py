@@ -23,8 +23,8 @@ def p10_messages(spark: SparkSession, sf: str) -> DataFrame:
     return residue.recurrence(_documents(spark, sf))
 
 
-def _discovery(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf, "discovery", "full_name", "topics", "description"), table(spark, sf, "category_labels", "full_name", "category")
+def _discovery(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf, "discovery", "full_name", "topics", "description"), table(spark, sf, "category_labels", "full_name", "category"), table(spark, sf, "category_catalog", "category", "meaning")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p5_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Top terms of every topic, as inspected to choose the anchors."""
+    """Top terms of every topic, to inspect that it means its subject."""
     return subjects.top_terms(*_discovery(spark, sf))
 
 

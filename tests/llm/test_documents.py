@@ -120,10 +120,15 @@ def test_subjects(spark):
     data = [(f"{c}{i}", d, t) for c, (d, t) in kinds.items() for i in range(12)]
     data += [("bare-web", "Serves pages with routes and cookies", []), ("two", "Trains neural networks on images. Also: Loads spreadsheets and cleans tables", None), ("none", None, None), ("blank", "  ", [" ", None]), ("none", None, None)]
     df = spark.createDataFrame([(n, t, d) for n, d, t in data], "full_name string, topics array<string>, description string")
-    labels = spark.createDataFrame([("Web0", "Web"), ("Web1", "Data"), (None, "Web")], "full_name string, category string")
+    df = df.withColumn("votes", F.lit("clash")).withColumn("category", F.lit("x"))
+    labels = spark.createDataFrame([(f"{c}{i}", c) for c in kinds for i in range(4)] + [("Web5", "Data"), (None, "Web"), ("Web6", None), ("Web7", "No such")], "full_name string, category string")
+    catalogue = spark.createDataFrame([(c, f"all about {c}") for c in [*kinds, "Mobile"]] + [(None, "x")], "category string, meaning string")
     got = {}
-    for r in subjects.subjects(df, labels).collect():
+    for r in subjects.subjects(df, labels, catalogue).collect():
         got.setdefault(r.full_name, set()).add(r.category)
     assert all(got[f"{c}{i}"] == {c} for c in kinds for i in range(12))
     assert got["bare-web"] == {"Web"} and got["two"] == {"AI/ML", "Data"} and got["none"] == got["blank"] == {"Diger"}
-    assert subjects.subjects(df.limit(0), labels).count() == 0
+    assert subjects.subjects(df.limit(0), labels, catalogue).count() == 0
+    fresh = [("law", "Compares statutes and court rulings"), ("chips", "Flashes bootloaders onto microcontrollers"), ("sea", "Charts tides of estuaries"), ("choir", "Arranges madrigals by voice range")]
+    unknown = spark.createDataFrame([(n, [], d) for n, d in fresh], "full_name string, topics array<string>, description string")
+    assert {r.category for r in subjects.subjects(df.select("full_name", "topics", "description").union(unknown), labels, catalogue).where("full_name in ('law', 'chips', 'sea', 'choir')").collect()} == {"Diger"}
