@@ -7,9 +7,14 @@ proportional to the distance from the protected end, so extreme percentiles stay
 Sketches of partitions or days merge by concatenating levels and compacting again.
 
 Tables of sketches have one row per key: ``items`` and the level of each in ``levels``, and the
-compaction counter of every level in ``steps``. Which half survives is decided by a hash of counter
-and level, never by a random generator. A sketch of at most ``capacity(0)`` items was never compacted
-and is exact; such rows pass through the Arrow stages as they are, and only larger ones are compacted.
+compaction counter of every level in ``steps``, of a sketch that protects the high tail; ``low_items`` and
+so on are of one that protects the low tail. A sketch of at most ``capacity(0)`` items was never compacted
+and is exact, then the low columns are null and the others serve both tails. Which half survives is
+decided by a hash of counter and level, never by a random generator.
+
+Rows are sorted by key within a task before they are sketched, so a task holds one key's sketches at a
+time and hands on one row a key, whatever the number and order of keys. Rows of a key are merged as a
+tree of ``FAN`` rows each, so no row ever holds more than ``FAN`` sketches.
 
 Defined cases: null and NaN values are left out; infinities count as values; groups without values
 and empty tables give no row; the null group is a group.
@@ -22,16 +27,16 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SECTION = 24  # values in a section; the error falls as its inverse
-BODY = [
-    T.StructField("levels", T.ArrayType(T.IntegerType())),
-    T.StructField("items", T.ArrayType(T.DoubleType())),
-    T.StructField("steps", T.ArrayType(T.LongType())),
-]
+FAN = 64  # sketches merged into one at a time
+NAMES = ("levels", "items", "steps", "low_levels", "low_items", "low_steps")
+BODY = [T.StructField(n, T.ArrayType(t)) for n, t in zip(NAMES, (T.IntegerType(), T.DoubleType(), T.LongType()) * 2)]
+SLOT = T.StructField("slot_", T.IntegerType())
 
 
 def capacity(steps: int, section: int = SECTION) -> int:
@@ -139,97 +144,143 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(k, df.schema[k].dataType) for k in keys]
 
 
-HELD_ITEMS = 400_000  # items a task holds before it hands its sketches on; merging makes up for it
+class Both:
+    """A key's values: kept as they are up to the first capacity, then in one sketch for each tail."""
+
+    def __init__(self, section: int) -> None:
+        self.section, self.raw, self.high, self.low = section, Sketch(section), None, None
 
+    def add(self, values: np.ndarray, weights: np.ndarray) -> None:
+        if self.high is None:
+            room, held = capacity(0, self.section), sum(map(len, self.raw.levels))
+            if held + sum(bin(int(w)).count("1") for w in weights[:room + 1]) <= room and len(weights) <= room:
+                self.raw.add(values, weights)  # within the room of one level, so nothing is compacted
+                return
+            levels, items, steps = self.raw.body()
+            self.high, self.low = Sketch.of(levels, items, steps, self.section, "high"), Sketch.of(levels, items, steps, self.section, "low")
+        self.high.add(values, weights)
+        self.low.add(values, weights)
 
-def _shares(keys: list[str], section: int, protect: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sketch the keys that fill a sketch within a batch; pass the values of all others on as they are."""
-    held: dict[tuple, Sketch] = {}
-    room, size = capacity(0, section), 0
+    def body(self) -> tuple:
+        return (*self.raw.body(), None, None, None) if self.high is None else (*self.high.body(), *self.low.body())
 
-    def rows() -> pd.DataFrame:
-        out = [(*key, *s.body()) for key, s in held.items()]
-        held.clear()
-        return pd.DataFrame(out, columns=[*keys, "levels", "items", "steps"])
 
+def _shares(keys: list[str], section: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per key of batches in which equal keys stand together."""
+    slot = TaskContext.get().partitionId() if TaskContext.get() else 0
+    open_key: tuple | None = None
+    held: Both | None = None
     for pdf in batches:
+        if not len(pdf):
+            continue
         code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        big = np.bincount(code) > room if len(code) else np.empty(0, bool)
-        is_big = big[code] if len(code) else np.empty(0, bool)
-        small = pdf[~is_big]
-        if len(small):
-            levels = [[h for h in range(int(w).bit_length()) if int(w) >> h & 1] for w in small["weight_"].to_numpy()]
-            yield pd.DataFrame({**{k: small[k] for k in keys}, "levels": levels, "items": [[v] * len(h) for v, h in zip(small["value_"].to_numpy(), levels)], "steps": [[]] * len(small)})
-        for _, part in pdf[is_big].groupby(code[is_big], sort=False):
-            key = tuple(None if pd.isna(x) else x for x in part[keys].iloc[0])
-            s = held.setdefault(key, Sketch(section, protect))
-            s.add(part["value_"].to_numpy(), part["weight_"].to_numpy())
-            size += 2 * room
-        if size > HELD_ITEMS:
-            yield rows()
-            size = 0
-    if held:
-        yield rows()
-
-
-def build(df: DataFrame, keys: Sequence[str], value: str, section: int = SECTION, protect: str = "high") -> DataFrame:
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        ends = np.r_[starts[1:], len(code)]
+        values, weights = pdf["value_"].to_numpy(), pdf["weight_"].to_numpy()
+        heads = [tuple(None if pd.isna(x) else x for x in row) for row in pdf[keys].iloc[starts].itertuples(index=False, name=None)]
+        out, room = [], capacity(0, section)
+        single = np.maximum.reduceat(weights, starts) == 1
+        for key, i, j, once in zip(heads, starts, ends, single):
+            if once and j - i <= room and j < len(code) and key != open_key:  # a whole key, exact as it stands
+                if held is not None:
+                    out.append((*open_key, *held.body(), slot))
+                    open_key, held = None, None
+                out.append((*key, np.zeros(j - i, np.int32), values[i:j], [], None, None, None, slot))
+                continue
+            if held is None or key != open_key:
+                if held is not None:
+                    out.append((*open_key, *held.body(), slot))
+                open_key, held = key, Both(section)
+            held.add(values[i:j], weights[i:j])
+        if out:
+            yield pd.DataFrame(out, columns=[*keys, *NAMES, "slot_"])
+    if held is not None:
+        yield pd.DataFrame([(*open_key, *held.body(), slot)], columns=[*keys, *NAMES, "slot_"])
+
+
+def build(df: DataFrame, keys: Sequence[str], value: str, section: int = SECTION) -> DataFrame:
     """Sketches of ``value`` per key.
 
     Equal values are counted map-side first and hash-partitioned by key *and* value, which spreads a
     hot key over all tasks; each task sketches its share of such a key, and shares merge by key.
     """
     keys = list(keys)
-    schema = T.StructType(_key_fields(df, keys) + BODY)
+    schema = T.StructType(_key_fields(df, keys) + BODY + [SLOT])
     counted = (
         df.select(*keys, F.col(value).cast("double").alias("value_")).where("value_ is not null and not isnan(value_)")
-        .groupBy(*keys, "value_").agg(F.count("*").alias("weight_"))
+        .groupBy(*keys, "value_").agg(F.count("*").alias("weight_")).sortWithinPartitions(*keys)
     )
-    return merge(counted.mapInPandas(partial(_shares, keys, section, protect), schema), keys, section, protect)
+    shares = counted.mapInPandas(partial(_shares, keys, section), schema)
+    slots = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    while slots > FAN:  # tasks beyond the fan: merge neighbours first
+        shares = _merged(shares.withColumn("slot_", (F.col("slot_") / FAN).cast("int")), [*keys, "slot_"], section)
+        slots = -(-slots // FAN)
+    return _merged(shares.drop("slot_"), keys, section)
 
 
-def merge(sketches: DataFrame, keys: Sequence[str], section: int = SECTION, protect: str = "high") -> DataFrame:
+def merge(sketches: DataFrame, keys: Sequence[str], section: int = SECTION) -> DataFrame:
     """Merge every sketch that shares ``keys`` (fewer than the sketches were built by, if wanted).
 
-    Levels are concatenated by a JVM aggregate; only rows that then exceed a sketch's first capacity are
-    compacted. A key has at most a few sketches per task and finer key, of a few kilobytes each.
+    A key's sketches are first merged in ``FAN`` parts, by hash, then these into one.
     """
     keys = list(keys)
+    parts = sketches.withColumn("slot_", F.pmod(F.xxhash64(*[c for c in sketches.columns if c not in NAMES]), F.lit(FAN)).cast("int"))
+    finer = len(sketches.columns) - len(NAMES) > len(keys)
+    return _merged(_merged(parts.select(*keys, "slot_", *NAMES), [*keys, "slot_"], section).drop("slot_") if finer else sketches.select(*keys, *NAMES), keys, section)
+
+
+def _merged(sketches: DataFrame, keys: list[str], section: int) -> DataFrame:
+    """One row per key, levels concatenated by a JVM aggregate; only rows beyond a sketch's first capacity are compacted, in Arrow batches."""
     schema = T.StructType(_key_fields(sketches, keys) + BODY)
     either = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)).bitwiseOR(F.coalesce(y, F.lit(0))))
-    joined = sketches.groupBy(*keys).agg(
-        F.flatten(F.collect_list("levels")).alias("levels"), F.flatten(F.collect_list("items")).alias("items"),
-        F.aggregate(F.collect_set("steps"), F.array().cast("array<bigint>"), either).alias("steps"),
-    )
+    rows = sketches.groupBy(*keys).agg(F.collect_list(F.struct(*NAMES)).alias("rows_"))
+    sketched = F.exists("rows_", lambda r: r["low_items"].isNotNull())
+
+    def joined(name: str, low: bool) -> list:
+        pick = lambda r: F.coalesce(r[f"low_{name}"], r[name]) if low else r[name]
+        every = F.transform("rows_", pick)
+        out = F.aggregate(every, F.array().cast("array<bigint>"), either) if name == "steps" else F.flatten(every)
+        return F.when(sketched | (F.aggregate("rows_", F.lit(0), lambda a, r: a + F.size(r["items"])) > capacity(0, section)), out) if low else out
+
+    one = rows.select(*keys, *[joined(n.removeprefix("low_"), n.startswith("low_")).alias(n) for n in NAMES])
 
     def compacted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bodies = [
-                (lv, xs, st) if len(xs) <= capacity(0, section) else Sketch.of(np.asarray(lv), np.asarray(xs, dtype=float), np.asarray(st), section, protect).body()
-                for lv, xs, st in zip(pdf["levels"], pdf["items"], pdf["steps"])
-            ]
+            bodies = []
+            for high, low in zip(zip(*(pdf[n] for n in NAMES[:3])), zip(*(pdf[n] for n in NAMES[3:]))):
+                if low[1] is None:
+                    bodies.append((*high, None, None, None))
+                else:
+                    bodies.append(tuple(x for (lv, xs, st), tail in ((high, "high"), (low, "low")) for x in Sketch.of(np.asarray(lv), np.asarray(xs, dtype=float), np.asarray(st), section, tail).body()))
             out = pdf[keys].copy()
-            for i, name in enumerate(("levels", "items", "steps")):
+            for i, name in enumerate(NAMES):
                 out[name] = pd.Series([x[i] for x in bodies], index=out.index, dtype=object)
             yield out
 
-    return joined.mapInPandas(compacted, schema)
+    return one.mapInPandas(compacted, schema)
 
 
 def quantiles(sketches: DataFrame, keys: Sequence[str], ps: dict[str, float]) -> DataFrame:
     """(keys, n, one column per named percentile) from sketches, inside the JVM.
 
-    A percentile is the smallest item whose cumulative weight reaches rank max(1, ceil(p * n)).
+    A percentile is the smallest item whose cumulative weight reaches rank max(1, ceil(p * n)); those below
+    the median are read from the sketch of the low tail, the others from that of the high tail.
     """
     keys = list(keys)
     weight = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h)
-    pairs = F.sort_array(F.zip_with("items", "levels", lambda x, h: F.struct(x.alias("v"), weight(h).alias("w"))))
-    flat = sketches.select(*keys, pairs.alias("pairs")).withColumn("n", F.aggregate("pairs", F.lit(0).cast("long"), lambda a, x: a + x["w"]))
-    names = list(ps)
-    want = F.array(*[F.greatest(F.lit(1.0), F.ceil(F.lit(ps[k]) * F.col("n") - 1e-9)) for k in names])
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.transform("want", lambda w: F.lit(None).cast("double")).alias("found"))
-    fold = F.aggregate("pairs", start, lambda a, x: F.struct(
-        (a["seen"] + x["w"]).alias("seen"),
-        F.zip_with(a["found"], "want", lambda f, w: F.when(f.isNull() & (a["seen"] + x["w"] >= w), x["v"]).otherwise(f)).alias("found"),
-    ))["found"]
-    picked = flat.withColumn("want", want).select(*keys, "n", fold.alias("found"))
-    return picked.select(*keys, "n", *[F.col("found")[i].alias(k) for i, k in enumerate(names)])
+    pairs = lambda items, levels: F.sort_array(F.zip_with(items, levels, lambda x, h: F.struct(x.alias("v"), weight(h).alias("w"))))
+    flat = sketches.select(*keys, pairs(F.col("items"), F.col("levels")).alias("high"), F.when(F.col("low_items").isNotNull(), pairs(F.col("low_items"), F.col("low_levels"))).alias("low_"))
+    flat = flat.select(*keys, "high", F.coalesce("low_", "high").alias("low"), F.aggregate("high", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("n"))
+
+    def found(pairs: str, names: list[str]):
+        want = F.array(*[F.greatest(F.lit(1.0), F.ceil(F.lit(ps[k]) * F.col("n") - 1e-9)) for k in names])
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.transform(want, lambda w: F.lit(None).cast("double")).alias("found"))
+        return F.aggregate(pairs, start, lambda a, x: F.struct(
+            (a["seen"] + x["w"]).alias("seen"),
+            F.zip_with(a["found"], want, lambda f, w: F.when(f.isNull() & (a["seen"] + x["w"] >= w), x["v"]).otherwise(f)).alias("found"),
+        ))["found"]
+
+    lows, highs = [k for k in ps if ps[k] < 0.5], [k for k in ps if ps[k] >= 0.5]
+    picked = flat.select(*keys, "n", *[found(c, names).alias(c) for c, names in (("low", lows), ("high", highs)) if names])
+    at = {k: F.col(c)[i] for c, names in (("low", lows), ("high", highs)) for i, k in enumerate(names)}
+    return picked.select(*keys, "n", *[at[k].alias(k) for k in ps])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from forgelens.llm import cutoffs, quantiles, splits
 from forgelens.session import table
@@ -40,25 +41,36 @@ def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.quantiles(merged, ["project_name"], PERCENTILES)
 
 
+BOUND = 0.05  # of the rank distance to the nearer end
+
+
 def p4_error(spark: SparkSession, sf: str) -> DataFrame:
-    """Observed rank error of each project's estimates against the exact ranks, and whether it is in bound.
+    """The exact percentiles of each project, null where the sketch's estimate has a rank error beyond ``BOUND``.
 
     For an estimate x of percentile p the true ranks of x span [below + 1, at or below]; the error is the
-    distance of p*n to that span, relative to the values above (the protected tail).
+    distance of p*n to that span, relative to the distance of p*n to the protected end.
     """
-    ps = {k: v for k, v in PERCENTILES.items() if v >= 0.5}
+    counted = table(spark, sf, "file_facts", "project_name", "commit_count").where("commit_count is not null").groupBy("project_name", F.col("commit_count").cast("double").alias("v")).agg(F.count("*").alias("c"))
+    by = Window.partitionBy("project_name").orderBy("v")  # over different values, already folded
+    ranked = counted.select(F.col("project_name").alias("name"), "v", "c", F.sum("c").over(by).alias("upto"))
     est = p4_percentiles(spark, sf)
-    long = est.select("project_name", "n", F.explode(F.array(*[F.struct(F.lit(v).alias("p"), F.col(k).alias("x")) for k, v in ps.items()])).alias("e")).select("project_name", "n", "e.p", "e.x")
-    wanted = long.groupBy("project_name").agg(F.first("n").alias("n"), F.collect_list(F.struct("p", "x")).alias("es"))
-    counted = table(spark, sf, "file_facts", "project_name", "commit_count").where("commit_count is not null").groupBy("project_name", "commit_count").agg(F.count("*").alias("c"))
-    hit = counted.join(wanted.withColumnRenamed("project_name", "w"), F.col("project_name").eqNullSafe(F.col("w"))).select("project_name", "n", "commit_count", "c", F.explode("es").alias("e"))
-    ranks = hit.groupBy("project_name", "n", "e.p", "e.x").agg(F.sum(F.when(F.col("commit_count") < F.col("e.x"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("commit_count") <= F.col("e.x"), F.col("c")).otherwise(0)).alias("upto"))
-    target = F.greatest(F.lit(1.0), F.ceil(F.col("p") * F.col("n") - 1e-9))
-    off = F.greatest(F.col("below") + 1 - target, target - F.col("upto"), F.lit(0.0)) / F.greatest(F.col("n") - target + 1, F.lit(1.0))
-    return ranks.groupBy("project_name").agg(F.first("n").alias("n"), (F.max(off) <= 0.05).alias("in_bound"))
-
-
-P4_ERROR_SQL = "select project_name, count(commit_count) n, true in_bound from file_facts where commit_count is not null group by project_name"
+    hit = est.join(ranked, est["project_name"].eqNullSafe(ranked["name"]))
+    out = {}
+    for k, p in PERCENTILES.items():
+        target = F.greatest(F.lit(1.0), F.ceil(F.lit(p) * F.col("n") - 1e-9))
+        end = F.greatest(F.col("n") - target + 1 if p >= 0.5 else target, F.lit(1.0))
+        off = F.greatest(F.col("upto") - F.col("c") + 1 - target, target - F.col("upto"), F.lit(0.0)) / end
+        exact = F.min(F.when(F.col("upto") >= target, F.col("v")))
+        out[k] = F.when(F.max(F.when(F.col("v") == F.col(k), off)) <= BOUND, exact).alias(k)
+    return hit.groupBy("project_name", "n").agg(*[out[k].alias(f"x_{k}") for k in PERCENTILES]).select("project_name", "n", *[F.col(f"x_{k}").alias(k) for k in PERCENTILES])
+
+
+P4_ERROR_SQL = f"""
+with s as (select project_name, cast(commit_count as double) v from file_facts where commit_count is not null),
+r as (select project_name, v, row_number() over (partition by project_name order by v) k, count(*) over (partition by project_name) n from s)
+select project_name, n, {', '.join(f"min(v) filter (where k >= greatest(1, ceil({p} * n - 1e-9))) {k}" for k, p in PERCENTILES.items())}
+from r group by project_name, n
+"""
 
 
 def _components(spark: SparkSession, sf: str) -> DataFrame:

@@ -112,3 +112,18 @@ def test_pairs_and_shares(spark):
     got = splits.split_components(sizes, (("train", 0.8), ("validation", 0.1), ("test", 0.1))).groupBy("split").agg(F.sum("rows").alias("n"))
     total = 3000 * 4
     assert {r.split: round(r.n / total, 2) for r in got.collect()} == {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def test_sketches_stay_bounded_for_many_interleaved_keys(spark):
+    df = spark.range(1_000_000).select((F.col("id") % 1000).alias("g"), F.xxhash64("id").cast("double").alias("v"), F.lit("clash").alias("items"))
+    sizes = quantiles.build(df, ["g"], "v").select(F.size("items").alias("high"), F.size("low_items").alias("low")).agg(F.max("high").alias("high"), F.max("low").alias("low"), F.count("*").alias("n")).first()
+    assert sizes.n == 1000 and max(sizes.high, sizes.low) < 1000  # values a key: 1000, all different
+
+
+def test_both_tails_keep_relative_rank_error(spark):
+    n = 300_000
+    df = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") * F.lit(7919) % n).cast("double").alias("v"), (F.col("id") % 40).alias("day"))
+    ps = {"p0001": 0.0001, "p001": 0.001, "p05": 0.05, "p95": 0.95, "p999": 0.999, "p9999": 0.9999}
+    got = quantiles.quantiles(quantiles.merge(quantiles.build(df, ["g", "day"], "v"), ["g"]), ["g"], ps).first()
+    for k, p in ps.items():
+        assert abs(got[k] + 1 - p * n) <= 0.05 * min(p * n, n - p * n) + 1, (k, got[k])
