@@ -44,3 +44,22 @@ def test_columns(spark):
     assert got[1].metrics.loc == 61 and got[1].smells.smell_long_method == 1
     assert got[2].metrics.loc is None and got[3].smells.smell_count == 0
     assert s.function_table(df, "id").count() == 1
+
+
+def test_operands_are_told_apart_to_their_end():
+    import ast
+
+    same = "x = compute(a, b, gamma_value_one_of_a_very_long_name_indeed) + compute(a, b, gamma_value_one_of_a_very_long_name_indeed)"
+    other = same[:-5] + "deee)"
+    assert s.halstead(list(ast.walk(ast.parse(same))))[0] == 2 and s.halstead(list(ast.walk(ast.parse(other))))[0] == 3
+    assert s.halstead(list(ast.walk(ast.parse("x += 1\ny = x * x"))))[0] == 4  # two operators, x and 1
+
+
+def test_long_chains_cost_their_nodes(spark):
+    import time
+
+    source = "x = " + " + ".join(f"a{i}" for i in range(3000)) + "\n" + "y = 1\n" * 12
+    began = time.time()
+    assert s.metrics(source)["h_length"] == 2 * 2999 + 2999 and time.time() - began < 5
+    plan = s.metrics_table(spark.createDataFrame([(1, source)], "id int, content string"), "id").where("loc > 3")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1 and plan.count() == 1
