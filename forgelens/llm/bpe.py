@@ -10,8 +10,12 @@ join back by word, and a document's pieces are put in order by position.
 The rank map is a literal: an array of small maps, indexed by CRC-32 of the piece, so a lookup compares
 about 12 keys. Its size is that of the vocabulary. Decoding concatenates the pieces.
 
+A long word is first cut between bytes that no token holds side by side. No merge crosses such a place, so
+the parts are folded on their own and the work for text without blanks stays near its length. A frequent
+word that is no ASCII token meets in one key of the join; adaptive execution splits such partitions.
+
 Defined cases: empty and null texts have the empty list of ids; strings that look like special tokens
-are ordinary text; texts and words of any length are encoded whole (a fold step is linear in the word);
+are ordinary text; texts and words of any length are encoded whole;
 rows with equal ids and texts are each encoded.
 """
 
@@ -36,6 +40,37 @@ _S = r"\p{IsWhite_Space}"
 PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}++| ?\p{{N}}++| ?[^{_S}\p{{L}}\p{{N}}]++|{_S}+(?!\P{{IsWhite_Space}})|{_S}+"
 
 
+LONG = 48  # bytes; longer words are cut before they are folded
+
+
+@lru_cache(maxsize=4)
+def _joined(path: str) -> bytes:
+    """For each pair of bytes whether some token holds it within, as 65536 bytes of 0 or 1."""
+    held = bytearray(65536)
+    with open(path, "rb") as lines:
+        for line in lines:
+            raw = base64.b64decode(line.split()[0])
+            for a, b in zip(raw, raw[1:]):
+                held[a << 8 | b] = 1
+    return bytes(held)
+
+
+def _let(value: Column, body) -> Column:
+    """Bind a value once: a lambda over a one-element array, as lambdas are interpreted and share nothing else."""
+    return F.transform(F.array(value), body)[0]
+
+
+def segments(word: Column, path: str = DEFAULT_VOCABULARY) -> Column:
+    """The bytes of a word as hex, in parts that no merge can join: cut between bytes that stand side by side in no token."""
+    def cut_up(b: Column) -> Column:  # substrings of binary values cost their own length only
+        last = F.length(b) - 1
+        joined = lambda i: F.substring(F.lit(_joined(path)), F.conv(F.hex(F.substring(b, i + 1, F.lit(2))), 16, 10).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+        marked = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(F.hex(F.substring(b, i + 1, F.lit(1))), F.when((i < last) & ~joined(i), F.lit("|")).otherwise(F.lit(""))))
+        return F.when(F.length(b) > LONG, F.split(F.array_join(marked, ""), "[|]")).otherwise(F.array(F.hex(b)))
+
+    return _let(F.encode(word, "UTF-8"), cut_up)
+
+
 @lru_cache(maxsize=4)
 def _tables(path: str) -> tuple[str, str, str]:
     """As JSON: ranks of whole words by text, ranks of pieces by hex, and the list of pieces."""
@@ -75,19 +110,15 @@ def _pieces(state: Column) -> Column:
 def merged(word_hex: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """The ids of a word given as hex of its bytes, by folding ranked merges."""
 
-    # a lambda over a one-element array binds a value once; lambdas are interpreted and share nothing else
-    def let(value: Column, body) -> Column:
-        return F.transform(F.array(value), body)[0]
-
     def best(p: Column) -> Column:
         pairs = F.zip_with(
             F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1),
-            lambda a, b: let(F.concat(a, b), lambda ab: let(rank_of(ab, path), lambda r: F.when(r.isNotNull(), F.struct(r.alias("rank"), F.concat(F.lit("<"), a, F.lit("><"), b, F.lit(">")).alias("pair"), F.concat(F.lit("<"), ab, F.lit(">")).alias("one"))))),
+            lambda a, b: _let(F.concat(a, b), lambda ab: _let(rank_of(ab, path), lambda r: F.when(r.isNotNull(), F.struct(r.alias("rank"), F.concat(F.lit("<"), a, F.lit("><"), b, F.lit(">")).alias("pair"), F.concat(F.lit("<"), ab, F.lit(">")).alias("one"))))),
         )
         return F.when(F.size(p) > 1, F.array_min(pairs))
 
     def step(state: Column, _: Column) -> Column:
-        replaced = let(best(_pieces(state["w"])), lambda f: F.struct(
+        replaced = _let(best(_pieces(state["w"])), lambda f: F.struct(
             F.when(f.isNull(), state["w"]).otherwise(F.replace(state["w"], f["pair"], f["one"])).alias("w"), f.isNull().alias("over")))
         return F.when(state["over"], state).otherwise(replaced)
 
@@ -106,7 +137,8 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     there = F.filter("ws", lambda w: w["id"].isNotNull())
     hits = looked.select("k_", "h_", *held, F.transform(there, lambda w: w["pos"]).alias("at"), F.transform(there, lambda w: w["id"]).alias("ids"))
     missing = cut(looked.select("k_", "h_", F.explode(F.filter("ws", lambda w: w["id"].isNull())).alias("w")).select("k_", "h_", "w.pos", "w.word").distinct())
-    folded = missing.select("word").distinct().select("word", merged(F.hex(F.encode("word", "UTF-8")), path).alias("ids"))
+    distinct = missing.select("word").distinct().select("word", segments(F.col("word"), path).alias("parts_"))
+    folded = distinct.select("word", F.flatten(F.transform("parts_", lambda p: merged(p, path))).alias("ids"))
     back = missing.join(folded, "word").groupBy("k_", "h_").agg(F.collect_list(F.struct("pos", "ids")).alias("misses"))
     own = F.zip_with("at", "ids", lambda p, i: F.struct(p.alias("pos"), F.array(i).alias("ids")))
     every = F.array_sort(F.concat(own, "misses"))

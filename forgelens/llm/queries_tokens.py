@@ -24,7 +24,7 @@ def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf, "documents", "doc_id", "text", "source")
     targets = table(spark, sf, "mix_targets", "source", "target_share", "max_repeats")
-    aimed = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    aimed = documents.join(targets.select("source").distinct(), "source", "left_semi")  # broadcast only if its size allows
     sized = cut(bpe.encode(aimed, keep=("source",)).select("doc_id", "source", F.size("ids").cast("long").alias("tokens")))
     return mixing.mix(sized, targets)
 

@@ -66,7 +66,7 @@ def test_ids_equal_the_public_tokenizer(spark):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.DEFAULT_VOCABULARY, "rb"))}
     enc = tiktoken.Encoding("t", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
-    texts = ["Hello world's", "  two  blanks \n\t x\n\n", "", None, "naïve café İstanbul ışık", "日本語 текст \U0001f600\u0007", "x" * 3000, "ab" * 700 + "=" * 400, "<|endoftext|>", "don't we'll I'VE 12345", "\u00a0\u2003wide\u3000", "mainframe-lens_v2.unzip()", "Hello world's"]
+    texts = ["Hello world's", "  two  blanks \n\t x\n\n", "", None, "naïve café İstanbul ışık", "日本語 текст \U0001f600\u0007", "x" * 3000, "ab" * 700 + "=" * 400, "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(2500)), "".join(chr(33 + (i * 31 + i // 7) % 90) for i in range(900)), "日本" * 60, "<|endoftext|>", "don't we'll I'VE 12345", "\u00a0\u2003wide\u3000", "mainframe-lens_v2.unzip()", "Hello world's"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("word", F.lit("clash")).withColumn("pos", F.lit(1))
     got = {r.doc_id: r for r in bpe.encode(df).withColumn("back", bpe.decode(F.col("ids"))).collect()}
     for i, t in enumerate(texts):
