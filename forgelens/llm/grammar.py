@@ -1,9 +1,10 @@
 """Source files that do not parse.
 
-Every file is parsed by the grammar its extension names. A failing file is then parsed by the other
-grammars, most likely language first by its tokens; one that accepts it, and of which it has tokens
-(a bare literal parses in several), shows a wrong extension, and if none does the file is corrupt. (A file its own grammar accepts needs no other parse: no later
-result could change its verdict.)
+Every file is parsed by every supported grammar, likeliest language first by its tokens. A file that its
+own grammar (the one its extension names) rejects has a wrong extension if another accepts it of which it
+has tokens (a bare literal parses in several), and is corrupt if none does. ``parsed_as`` lists all that
+accept it, so a file that its own grammar accepts but another language fits better shows as well; only
+what breaks the own grammar is flagged.
 
 Defined cases: null contents and other extensions give no verdict; an empty or blank Python,
 JavaScript or TOML file is valid, an empty or blank JSON file is not; a leading byte order mark is
@@ -103,27 +104,39 @@ CUES = {
 }
 
 
-def ranked(text: str, besides: str) -> list[str]:
-    """The other languages, most cues first; a language of which the text has no cue proves nothing by parsing."""
-    score = {k: len(p.findall(text)) for k, p in CUES.items() if k != besides}
-    return sorted((k for k in score if score[k]), key=lambda k: -score[k])
+def ranked(text: str) -> dict[str, int]:
+    """All languages with their number of cues in the text, most first."""
+    score = {k: len(p.findall(text)) for k, p in CUES.items()}
+    return dict(sorted(score.items(), key=lambda kv: -kv[1]))
 
 
-def verdict(text: str, language: str) -> tuple[str, str | None]:
-    """('valid' | 'wrong_extension' | 'corrupt' | 'undecided', the language that parsed)."""
-    text = text.removeprefix("﻿")
-    try:
-        if GRAMMARS[language](text):
-            return "valid", language
-    except TooDeep:
-        return "undecided", None
-    for other in ranked(text, language):
+def accepted(text: str) -> tuple[dict[str, int], list[str], list[str]]:
+    """(cues by language, languages whose grammar accepts the text, languages whose parser gave up), likeliest first."""
+    score = ranked(text)
+    fits, deep = [], []
+    for language in score:
         try:
-            if text.strip() and GRAMMARS[other](text):
-                return "wrong_extension", other
+            if GRAMMARS[language](text):
+                fits.append(language)
         except TooDeep:
-            continue
-    return "corrupt", None
+            deep.append(language)
+    return score, fits, deep
+
+
+def judged(text: str, language: str) -> tuple[str, str | None, list[str]]:
+    """('valid' | 'wrong_extension' | 'corrupt' | 'undecided', the language it is in, all that accept it)."""
+    text = text.removeprefix("\ufeff")
+    score, fits, deep = accepted(text)
+    if language in deep:
+        return "undecided", None, fits
+    if language in fits:
+        return "valid", language, fits
+    foreign = next((k for k in fits if score[k]), None) if text.strip() else None
+    return ("wrong_extension", foreign, fits) if foreign else ("corrupt", None, fits)
+
+
+def verdict(text: str, language: str) -> tuple[str, str | None]:
+    return judged(text, language)[:2]
 
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,15 +144,16 @@ def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if hasattr(sys, "set_int_max_str_digits"):
         sys.set_int_max_str_digits(0)
     for pdf in batches:
-        found = [verdict(t, g) for t, g in zip(pdf["content_"], pdf["language"])]
+        found = [judged(t, g) for t, g in zip(pdf["content_"], pdf["language"])]
         out = pdf[["file_id", "project_name", "language"]].copy()
-        out["verdict"] = [v for v, _ in found]
-        out["parsed_as"] = [p for _, p in found]
+        out["verdict"] = [v for v, _, _ in found]
+        out["actual"] = [p for _, p, _ in found]
+        out["parsed_as"] = [fits for _, _, fits in found]
         yield out
 
 
 def verdicts(files: DataFrame) -> DataFrame:
-    """(file_id, project_name, language, verdict, parsed_as) of every file with content and a known extension.
+    """(file_id, project_name, language, verdict, actual, parsed_as) of every file with content and a known extension.
 
     One pass over the files without any shuffle; parsing is the whole cost and spreads by input splits.
     """
@@ -148,7 +162,7 @@ def verdicts(files: DataFrame) -> DataFrame:
     for e, name in EXTENSIONS.items():
         language = F.when(extension == e, name) if language is None else language.when(extension == e, name)
     known = files.select("file_id", "project_name", F.col("content").alias("content_"), language.alias("language")).where("content_ is not null and language is not null")
-    return known.mapInPandas(_verdicts, "file_id long, project_name string, language string, verdict string, parsed_as string")
+    return known.mapInPandas(_verdicts, "file_id long, project_name string, language string, verdict string, actual string, parsed_as array<string>")
 
 
 def flagged(files: DataFrame) -> DataFrame:
@@ -156,8 +170,12 @@ def flagged(files: DataFrame) -> DataFrame:
 
 
 def rates(files: DataFrame) -> DataFrame:
-    """(project_name, language, files, flagged, wrong_extension, rate), as counted per repository and language."""
+    """(project_name, language, files, flagged, wrong_extension, foreign, rate) per repository and language.
+
+    ``foreign`` counts valid files that a likelier language accepts as well.
+    """
     bad = F.col("verdict").isin("wrong_extension", "corrupt").cast("long")
     return verdicts(files).groupBy("project_name", "language").agg(
-        F.count("*").alias("files"), F.sum(bad).alias("flagged"), F.sum((F.col("verdict") == "wrong_extension").cast("long")).alias("wrong_extension")
+        F.count("*").alias("files"), F.sum(bad).alias("flagged"), F.sum((F.col("verdict") == "wrong_extension").cast("long")).alias("wrong_extension"),
+        F.sum(((F.col("verdict") == "valid") & (F.get("parsed_as", F.lit(0)) != F.col("language"))).cast("long")).alias("foreign"),
     ).withColumn("rate", F.col("flagged") / F.col("files"))

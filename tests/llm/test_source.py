@@ -38,6 +38,12 @@ def test_verdicts(text, language, expected):
     assert grammar.verdict(text, language) == expected
 
 
+def test_every_grammar_is_tried():
+    assert grammar.judged('{"a": 1, "b": [1, 2]}', "python") == ("valid", "python", ["python", "json"]) or set(grammar.judged('{"a": 1, "b": [1, 2]}', "python")[2]) == {"python", "json"}
+    assert set(grammar.judged('[tool]\nname = "x"\n', "python")[2]) == {"toml", "python", "javascript"}
+    assert grammar.judged("def f(:", "python") == ("corrupt", None, [])
+
+
 def test_deep_nesting_is_undecided(spark):
     assert grammar.verdict("[" * 200_000 + "]" * 200_000, "json")[0] == "undecided"
 
