@@ -65,3 +65,25 @@ def test_consistent_table(spark):
     a, b = d.consistent(df).orderBy("full_name").collect()
     assert (a.stars, a.topics, a.has_github_actions, a.description, str(a.created_at), a.other) == (1234, ["x", "y"], True, "hi", "2020-01-02 03:04:00", '{"odd": 1}')
     assert (b.stars, b.topics, b.has_github_actions, str(b.created_at), b.other) == (5, ["z"], False, "2020-01-02 03:04:05", None)
+
+
+def test_a_boolean_under_an_unknown_name_is_found_by_its_records(spark):
+    flags = [i % 3 == 0 for i in range(60)]
+    one = [{"full_name": n, "flagA": f, "k": 1} for n, f in zip(names(60), flags)]
+    two = [{"full_name": n, "other": f, "k": 1} for n, f in zip(names(60), flags)]
+    three = [{"full_name": n, "unlike": i % 5 == 0, "k": 1} for i, n in enumerate(names(60))]
+    assert found(snapshots(spark, [one, two, three])) == [("s/2", "other", "renamed"), ("s/3", "other", "removed"), ("s/3", "unlike", "added")]
+
+
+def test_aliases_are_a_parameter(spark):
+    one = [{"full_name": n, "aa": True} for n in names(5)]
+    two = [{"full_name": n, "bb": True} for n in names(5)]  # one value for all proves nothing
+    df = snapshots(spark, [one, two])
+    kinds = lambda al: sorted(r.change_kind for r in d.changes(df, al).collect())
+    assert kinds({}) == ["added", "removed"] and kinds({"aa": ("boolean", ("bb",))}) == ["renamed"]
+
+
+def test_types_are_voted_by_record(spark):
+    one = [{"full_name": n, "x": 1} for n in names(5)]
+    two = [{"y": i, "x": 7} for i in range(4)] + [{"full_name": "o/p1", "x": "a"}, {"full_name": "o/p2", "x": "b"}, {"full_name": "o/p3", "x": "c"}]
+    assert ("s/2", "x", "type_changed") not in found(snapshots(spark, [one, two]))  # four integers against three strings
