@@ -36,7 +36,7 @@ SKIP_PATHS = (
     r"/docs?/", r"/examples?/", r"/vendor/", r"conf\.py$", r"__main__\.py$", r"/\.",
 )
 
-BUG_PATTERN = rf"(?im){START}({BUG_WORDS}){END}|^fix[\(:]|{START}{BUG_REFERENCE}{END}"
+BUG_PATTERN = rf"(?im){START}({BUG_WORDS}){END}|^fix[\(:]|{START}{BUG_REFERENCE}"
 REFACTOR_PATTERN = rf"(?i){START}({REFACTOR_WORDS}){END}"
 REVERT_PATTERN = rf"(?i)^revert{END}"
 SKIP_PATTERN = "|".join(SKIP_PATHS)

@@ -55,6 +55,12 @@ def commit_range(df: DataFrame, least: int | None = None, most: int | None = Non
     return df if most is None else df.where(F.col("commit_count") <= most)
 
 
+def sampled_projects(df: DataFrame, n: int, seed: int = 42, key: str = "project_name") -> DataFrame:
+    """All rows of the first ``n`` projects in seeded hash order (the sampling operator's own limit); rows without project are left out."""
+    names = df.select(key).where(F.col(key).isNotNull()).distinct()
+    return df.join(names.orderBy(F.md5(F.concat(key, F.lit(f"|{seed}"))), key).limit(n), key, "left_semi")
+
+
 def enough_files(df: DataFrame, least: int, key: str = "project_name") -> DataFrame:
     """Rows of projects with at least ``least`` files; sizes are counted map-side, then joined."""
     big = df.groupBy(F.col(key).alias("k_")).agg(F.count("*").alias("n_")).where(F.col("n_") >= least)

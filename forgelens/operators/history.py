@@ -12,15 +12,10 @@ DAY = 86400
 RECENT_DAYS = 90
 
 
-def parsed_commits(log: DataFrame) -> DataFrame:
-    """The commit log with numeric seconds; a malformed time is null and the commit still counts."""
-    return log.withColumn("ts", F.expr("try_cast(trim(ts) as bigint)")).withColumn("subject", F.coalesce("subject", F.lit("")))
-
-
-def split_log_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(ts, author, subject) of ``ts|author|subject`` lines; the subject keeps further bars."""
+def split_log_lines(lines: DataFrame, line: str = "line", *keep: str) -> DataFrame:
+    """(kept columns, ts, author, subject) of ``ts|author|subject`` lines; the subject keeps further bars."""
     p = F.split(F.col(line), r"\|", 3)
-    return lines.where(F.size(p) == 3).select(p[0].alias("ts"), p[1].alias("author"), p[2].alias("subject"))
+    return lines.where(F.size(p) == 3).select(*keep, p[0].alias("ts"), p[1].alias("author"), p[2].alias("subject"))
 
 
 def file_stats(touches: DataFrame, as_of: int) -> DataFrame:

@@ -39,6 +39,25 @@ def project_health(df: DataFrame, key: str = "project_name") -> DataFrame:
     )
 
 
+def smell_summary(files: DataFrame, key: str = "project_name", top: int = 5) -> DataFrame:
+    """Per project from (project, file_path, loc, smell_count, bug_pred, smell_pred): totals, density, risk counts and the smelliest files.
+
+    The top files are picked per project by partial aggregates that keep ``top`` entries, so no project is gathered whole.
+    """
+    entry = F.when(F.col("smell_count") > 0, F.struct((-F.col("smell_count")).alias("m"), F.col("file_path")))
+    spread = files.withColumn("part_", F.pmod(F.xxhash64("file_path"), F.lit(64)))
+    first = spread.groupBy(key, "part_").agg(
+        F.sum(F.coalesce("smell_count", F.lit(0))).alias("smells"), F.sum("loc").alias("loc"), F.count_if(F.col("smell_pred") == 1).alias("risky"),
+        F.count_if((F.col("smell_pred") == 1) & (F.col("bug_pred") == 1)).alias("priority"), F.slice(F.array_sort(F.collect_set(entry)), 1, top).alias("top"),
+    )
+    g = first.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("smells", "loc", "risky", "priority")], F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, top).alias("top"))
+    kloc = F.col("loc") / 1000.0
+    return g.select(
+        key, F.col("smells").alias("total_smells"), F.round(F.when(kloc > 0, F.col("smells") / kloc).otherwise(0.0), 2).alias("smell_density"), F.col("risky").alias("smell_risk"),
+        F.col("priority").alias("refactor_priority"), F.array_join(F.transform("top", lambda t: F.concat(t["file_path"], F.lit(":"), (-t["m"]).cast("string"))), " ").alias("top_files"),
+    )
+
+
 def tier_distribution(scored: DataFrame, score: str = "score") -> DataFrame:
     """(tier, files) over the fixed domain of tiers."""
     counts = scored.groupBy(scalars.risk_tier(F.col(score)).alias("tier")).agg(F.count("*").alias("files"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from forgelens.functions import scalars, text
-from forgelens.operators import dataset, labels, splits
+from forgelens.operators import dataset, labels, splits, stats
 from forgelens.plans.base import AS_OF_DATE, Book, facts
 from forgelens.session import table
 
@@ -216,6 +216,12 @@ def fl2_enough_files(spark, sf):
     return dataset.enough_files(facts(spark, sf, "row_id", "project_name"), 30).select("row_id")
 
 
+@book("fl10_sampled", "with p as (select project_name from (select distinct project_name from file_facts where project_name is not null) order by md5(concat(project_name, '|42')), project_name limit 50) select row_id from file_facts where project_name in (select project_name from p)")
+def fl10_sampled(spark, sf):
+    """Whole projects, a seeded choice of 50 (the sampling operator's own limit)."""
+    return dataset.sampled_projects(facts(spark, sf, "row_id", "project_name"), 50).select("row_id")
+
+
 @book("fl3_capped", "select row_id from file_facts qualify row_number() over (partition by project_name order by md5(concat(row_id::varchar, '|42')), row_id) <= 20")
 def fl3_capped(spark, sf):
     """WN5: a seeded sample of at most 20 rows a project (the sampling operator's own limit)."""
@@ -309,6 +315,12 @@ def jn12_grid_join(spark, sf):
     return a.join(s, F.col("k").eqNullSafe(F.col("k2"))).select("k", F.round("b", 6).alias("bug_metric"), F.round("s", 6).alias("smell_metric"), F.round((F.col("b") + F.col("s")) / 2, 6).alias("joint"))
 
 
+@book("tk5_joint_best", "with a as (select case when n_authors < 3 then n_authors end k, avg(bug_count) b from file_facts group by 1), s as (select case when n_authors < 3 then n_authors end k, avg(smell_count) s from file_facts group by 1) select a.k, round((b + s) / 2, 6) joint from a join s on a.k is not distinct from s.k order by joint desc nulls last, a.k nulls last limit 1")
+def tk5_joint_best(spark, sf):
+    """The cell of the joined grids with the best mean of both metrics."""
+    return stats.top_k(jn12_grid_join(spark, sf).select("k", "joint"), [F.desc_nulls_last("joint"), F.asc_nulls_last("k")], 1)
+
+
 @book("jn15_membership", "select row_id from file_facts where project_name in (select full_name from category_labels where category = 'Data')")
 def jn15_membership(spark, sf):
     s = table(spark, sf, "category_labels", "full_name", "category").where("category = 'Data'").select(F.col("full_name").alias("project_name")).distinct()
@@ -347,6 +359,12 @@ def sp1_project_split(spark, sf):
     return splits.project_split(facts(spark, sf, "project_name"))
 
 
+@book("sp2_rounded_split", "with p as (select project_name, row_number() over (order by md5(concat(project_name, '|42')), project_name) r, count(*) over () n from (select distinct project_name from file_facts where project_name is not null)) select project_name, case when r <= round_even(n * 0.15::double, 0) then 'test' when r <= 2 * round_even(n * 0.15::double, 0) then 'validation' else 'train' end part from p")
+def sp2_rounded_split(spark, sf):
+    """Whole projects, cut at shares rounded half to even."""
+    return splits.project_split(facts(spark, sf, "project_name"), half_even=True)
+
+
 @book("st5_split_overlap", f"with {_SPLIT} select count(*) projects, sum(cast(k > 1 as bigint))::bigint overlapping from (select project_name, count(distinct part) k from s group by 1)")
 def st5_split_overlap(spark, sf):
     return splits.overlap(splits.project_split(facts(spark, sf, "project_name")))

@@ -76,13 +76,16 @@ def pj2_bug_groups(spark, sf):
     return commits(spark, sf).select("commit_row_id", *[c.alias(f"bug_kw_{g}") for g, c in text.bug_groups(F.col("subject")).items()])
 
 
-@book("sc8_log_lines", "select project_name, count(*) n, count(try_cast(case when regexp_full_match(trim(ts), '[+-]?[0-9]+') then trim(ts) end as bigint)) readable, sum(cast(contains(subject, '|') as bigint)) with_bar from commit_log where ts is not null and author is not null and subject is not null and not contains(ts, '|') and not contains(author, '|') group by project_name")
+_LINES = "lines as (select project_name, concat(coalesce(ts, ''), '|', coalesce(author, ''), '|', coalesce(subject, '')) line from commit_log), p as (select project_name, regexp_extract(line, '^([^|]*)[|]([^|]*)[|]((?s:.*))$', ['ts', 'author', 'subject']) x from lines)"
+
+
+@book("sc8_log_lines", f"with {_LINES} select project_name, count(*) n, count(try_cast(case when regexp_full_match(trim(x.ts), '[+-]?[0-9]+') then trim(x.ts) end as bigint)) readable, count(distinct x.author) authors, sum(cast(contains(x.subject, '|') as bigint)) with_bar from p group by project_name")
 def sc8_log_lines(spark, sf):
-    """Commit-log lines split at the first two bars; the subject keeps the rest."""
-    log = table(spark, sf, "commit_log", "project_name", "ts", "author", "subject").where("ts is not null and author is not null and subject is not null and not contains(ts, '|') and not contains(author, '|')")
-    p = F.split(F.concat_ws("|", "ts", "author", "subject"), r"\|", 3)
-    return log.select("project_name", p[0].alias("ts"), p[2].alias("subject")).groupBy("project_name").agg(
-        F.count("*").alias("n"), F.count(F.expr("try_cast(trim(ts) as bigint)")).alias("readable"), F.sum(F.contains("subject", F.lit("|")).cast("long")).alias("with_bar"))
+    """Commit-log lines split at the first two bars; the subject keeps the rest. Every row is a line, missing parts are empty."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    lines = table(spark, sf, "commit_log", "project_name", "ts", "author", "subject").select("project_name", F.concat_ws("|", part("ts"), part("author"), part("subject")).alias("line"))
+    return history.split_log_lines(lines, "line", "project_name").groupBy("project_name").agg(
+        F.count("*").alias("n"), F.count(F.expr("try_cast(trim(ts) as bigint)")).alias("readable"), F.count_distinct("author").alias("authors"), F.sum(F.contains("subject", F.lit("|")).cast("long")).alias("with_bar"))
 
 
 @book("sc9_numstat", f"with {TOUCHES_SQL} select project, count(*) touches, count(added + deleted) with_churn, sum(added + deleted) churn from touches group by project")

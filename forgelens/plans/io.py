@@ -146,16 +146,20 @@ def _run(spark, df, name):
     return spark.read.schema(df.schema).parquet(out)
 
 
-@book("stream_windows")
+_CLOSED = "(select date_trunc('milliseconds', max(ts)) - interval 1 day from events)"
+
+
+@book("stream_windows", f"""with w as (select date_trunc('day', ts)::timestamp - to_days(k::int) as "start", event_type from events, range(7) r(k)) select "start", event_type, count(*) n from w where "start" + interval 7 day <= {_CLOSED} group by all""")
 def stream_windows(spark, sf):
-    """Closed sliding windows of a stream (an extension)."""
-    return _run(spark, streams.windowed_counts(_stream(spark, sf)), "windows")
+    """Sliding windows of a stream that its watermark has closed (an extension)."""
+    return _run(spark, streams.windowed_counts(_stream(spark, sf)), "windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@book("stream_bursts")
+@book("stream_bursts", f"""with o as (select user_id, ts, cast(coalesce(ts >= lag(ts) over w + interval 30 minute, true) as int) fresh from events window w as (partition by user_id order by ts)), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts) g from o)
+ select min(ts) as "start", user_id, count(*) n from s group by user_id, g having max(ts) + interval 30 minute <= {_CLOSED}""")
 def stream_bursts(spark, sf):
-    """Closed sessions of users (an extension)."""
-    return _run(spark, streams.bursts(_stream(spark, sf)), "bursts")
+    """Sessions of users that the watermark has closed (an extension)."""
+    return _run(spark, streams.bursts(_stream(spark, sf)), "bursts").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @book("stream_distinct", "select count(distinct event_id) n from events")

@@ -31,6 +31,16 @@ def ag11_health(spark, sf):
     return stats.project_health(facts(spark, sf, "project_name", "loc", "bug_count", "commit_count", "smell_count"))
 
 
+@book("ag12_smell_summary", """with f as (select project_name, file_path, max(smell_count) smell_count, sum(loc) loc, max(bug_keyword) bug_pred, max(smell_binary) smell_pred from file_facts where file_path is not null group by 1, 2),
+ t as (select project_name, string_agg(concat(file_path, ':', smell_count), ' ' order by smell_count desc, file_path) top_files from (select *, row_number() over (partition by project_name order by smell_count desc, file_path) r from f where smell_count > 0) where r <= 5 group by 1),
+ g as (select project_name, sum(coalesce(smell_count, 0)) total_smells, round(case when sum(loc) > 0 then sum(coalesce(smell_count, 0)) / (sum(loc) / 1000.0::double) else 0 end, 2) smell_density, count(*) filter (where smell_pred = 1) smell_risk, count(*) filter (where smell_pred = 1 and bug_pred = 1) refactor_priority from f group by 1)
+ select g.*, coalesce(top_files, '') top_files from g left join t on g.project_name is not distinct from t.project_name""")
+def ag12_smell_summary(spark, sf):
+    """Smell totals, density, risk and priority counts, and the five smelliest files of every project, by file."""
+    f = facts(spark, sf, "project_name", "file_path", "loc", "smell_count", "bug_keyword", "smell_binary").where("file_path is not null")
+    return stats.smell_summary(f.groupBy("project_name", "file_path").agg(F.max("smell_count").alias("smell_count"), F.sum("loc").alias("loc"), F.max("bug_keyword").alias("bug_pred"), F.max("smell_binary").alias("smell_pred")))
+
+
 @book("ag13_tiers", f"with {SCORES_SQL}, c as (select case when p >= 0.7 then 'BLOCK' when p >= 0.3 then 'REVIEW' else 'PASS' end tier, count(*) n from scores group by 1) select t.tier, coalesce(n, 0) files from (values ('PASS'), ('REVIEW'), ('BLOCK')) t(tier) left join c using (tier)")
 def ag13_tiers(spark, sf):
     return stats.tier_distribution(scores(spark, sf), "p")
@@ -193,6 +203,12 @@ def ag31_importance(spark, sf):
     return stats.importance_summary(spark.createDataFrame(rows, "feature string, fold int, importance double"))
 
 
+@book("tk6_top_importances", f"with {_IMPORTANCE} select feature, round(avg(importance), 6) mean from imp group by feature order by avg(importance) desc, feature limit 20")
+def tk6_top_importances(spark, sf):
+    """The 20 most important features."""
+    return stats.top_k(ag31_importance(spark, sf).select("feature", "mean"), [F.desc("mean"), F.asc("feature")], 20)
+
+
 @book("ag32_linter", "select json_extract_string(props, '$.k') k, event_type, count(*) n from events group by 1, 2")
 def ag32_linter(spark, sf):
     """SC21: messages by source from JSON."""
@@ -238,26 +254,37 @@ def ml1_scaled(spark, sf):
     return f.crossJoin(F.broadcast(s)).select("row_id", F.round((F.col("loc") - F.col("m")) / F.col("s"), 5).alias("scaled"))  # one row of statistics
 
 
-_COMBOS = """from (values ('bug_keyword'), ('bug_szz'), ('smell')) t(task), (values ('static'), ('derived'), ('process'), ('all')) f(feature_set), (values ('random'), ('project')) s(split),
- (values ('lr'), ('rf'), ('svm'), ('gbt'), ('xgb'), ('mlp')) m(model) where not (task = 'smell' and feature_set = 'all') and not (split = 'random' and model in ('svm', 'mlp'))"""
+# The lists of the experiment matrix. Small feature sets are run with the small models only.
+_TASKS = ("keyword", "szz", "p80")
+_FEATURE_SETS = ("static", "derived", "process", "all")
+_SPLITS = ("project", "time")
+_MODELS = ("lr", "rf", "svm", "xgboost", "lightgbm", "autogluon", "h2o", "tpot", "mlp", "cnn1d", "lstm", "stacking_rf_ag_meta_lr")
+_SMALL_MODELS = ("rf", "autogluon", "stacking_rf_ag_meta_lr")
 
 
-@book("ml15_combos", f"select task, feature_set, split, model {_COMBOS}")
+def _unnested(name: str, values: tuple[str, ...]) -> str:
+    return f"(select unnest([{', '.join(repr(v) for v in values)}]) {name})"
+
+
+@book("ml15_combos", f"select task, feature_set, split, model from {_unnested('task', _TASKS)}, {_unnested('feature_set', _FEATURE_SETS)}, {_unnested('split', _SPLITS)}, {_unnested('model', _MODELS)} where feature_set = 'all' or list_contains([{', '.join(repr(v) for v in _SMALL_MODELS)}], model)")
 def ml15_combos(spark, sf):
-    """The pruned matrix of experiments: a product of short literal lists."""
-    lists = {"task": ["bug_keyword", "bug_szz", "smell"], "feature_set": ["static", "derived", "process", "all"], "split": ["random", "project"], "model": ["lr", "rf", "svm", "gbt", "xgb", "mlp"]}
+    """The pruned matrix of experiments, 126 of them: a product of short literal lists."""
     d = spark.range(1)
-    for c, values in lists.items():
+    for c, values in {"task": _TASKS, "feature_set": _FEATURE_SETS, "split": _SPLITS, "model": _MODELS}.items():
         d = d.withColumn(c, F.explode(F.array(*[F.lit(v) for v in values])))
-    return d.where("not (task = 'smell' and feature_set = 'all') and not (split = 'random' and model in ('svm', 'mlp'))").drop("id")
+    return d.where((F.col("feature_set") == "all") | F.col("model").isin(*_SMALL_MODELS)).drop("id")
+
+
+# Least files of a project and caps of the sensitivity grid; null is no cap.
+_LEAST, _CAPS = (1, 3, 5, 8, 10, 12, 15, 20, 25, 30, 40, 50), (None, 20, 30, 40, 50, 60, 75, 80, 100, 120, 150, 200, 300)
 
 
-@book("ml19_grid", """with g(lo, hi) as (select a.x, b.x from (values (1), (5), (20), (60)) a(x), (values (null::int), (10), (50)) b(x)), n as (select project_name, count(*) c from file_facts group by project_name)
+@book("ml19_grid", f"""with g(lo, hi) as (select a.x, b.x from (select unnest({list(_LEAST)}) x) a, (select unnest({str(list(_CAPS)).replace('None', 'null')}) x) b), n as (select project_name, count(*) c from file_facts group by project_name)
  select lo, hi, case when hi is not null and lo >= hi then null else coalesce((select sum(least(c, coalesce(hi, c))) from n where c >= lo), 0) end::bigint files from g""")
 def ml19_grid(spark, sf):
     """Files left by every pair of least files and cap; impossible pairs are null."""
     n = facts(spark, sf, "project_name").groupBy("project_name").agg(F.count("*").alias("c"))
-    grid = [(lo, hi) for lo in (1, 5, 20, 60) for hi in (None, 10, 50)]
+    grid = [(lo, hi) for lo in _LEAST for hi in _CAPS]
     sums = n.agg(*[F.coalesce(F.sum(F.when(F.col("c") >= lo, F.least("c", F.lit(hi)) if hi else F.col("c"))), F.lit(0)).alias(f"g{i}") for i, (lo, hi) in enumerate(grid)])
     cells = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).cast("int").alias("hi"), (F.lit(None).cast("bigint") if hi and lo >= hi else F.col(f"g{i}")).alias("files")) for i, (lo, hi) in enumerate(grid)])
     return sums.select(F.explode(cells).alias("x")).select("x.*")

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from forgelens.session import table
-
 DISCOVERY = "found array<struct<full_name:string,clone_url:string,stars:int,created_at:string,project_age_days:int,contributor_count:int,default_branch:string,topics:array<string>,description:string>>"
 
 # Limits of uploaded archives.
@@ -67,10 +65,16 @@ def contributor_count(link: Column, listed: Column) -> Column:
 
 
 def linter_counts(outputs: DataFrame, key: str, output: str) -> DataFrame:
-    """(key, source, n) of messages in linter output that starts with noise before its JSON."""
+    """(key, source, n) of messages in linter output that starts with noise before its JSON.
+
+    Output without readable JSON gives one row with null source and count; a readable one without messages gives none.
+    """
     schema = "messages array<struct<source:string,message:string>>"
     body = F.from_json(F.expr(f"substring({output}, instr({output}, '{{'))"), schema)
-    return outputs.select(key, F.explode(body["messages"]).alias("m")).groupBy(key, F.col("m.source").alias("source")).agg(F.count("*").alias("n"))
+    failed = F.array(F.struct(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("message")))
+    read = outputs.select(key, body.alias("b_")).withColumn("failed_", F.col("b_").isNull() | ~F.coalesce(F.contains(F.to_json("b_"), F.lit("messages")), F.lit(False)))
+    each = read.select(key, "failed_", F.explode(F.when(F.col("failed_"), failed).otherwise(F.col("b_.messages"))).alias("m"))
+    return each.groupBy(key, F.when(~F.col("failed_"), F.coalesce("m.source", F.lit("unknown"))).alias("source")).agg(F.when(~F.bool_or("failed_"), F.count("*")).alias("n"))
 
 
 def hashed_sample(paths: DataFrame, n: int, seed: str = "42") -> DataFrame:
@@ -135,4 +139,4 @@ def retry_wait(status: int, attempt: int, remaining: int | None = None, until_re
     return steps[attempt] if attempt < len(steps) else None
 
 
-__all__ = ["table", "project_files", "project_parquets", "latest_by_name", "latest_by_time", "discovery_json", "results_csv", "source_text", "archive_verdict", "contributor_count", "linter_counts", "hashed_sample", "search_source", "retry_wait"]
+__all__ = ["project_files", "project_parquets", "latest_by_name", "latest_by_time", "discovery_json", "results_csv", "source_text", "archive_verdict", "contributor_count", "linter_counts", "hashed_sample", "search_source", "retry_wait"]

@@ -46,7 +46,7 @@ def test_ci_signals(spark):
     assert got["t"].has_jenkins and got["t"].has_compose and got["t"].is_devops_project
 
 
-@pytest.mark.parametrize(("message", "bug"), [("fix crash in parser", True), ("fix(core): x", True), ("closes #12", True), ("prefix table", False), ("add feature", False), ("éfix", False), ("", False), (None, False)])
+@pytest.mark.parametrize(("message", "bug"), [("fix crash in parser", True), ("fix(core): x", True), ("closes #12", True), ("closes #12abc", True), ("encloses #12", False), ("prefix table", False), ("add feature", False), ("éfix", False), ("", False), (None, False)])
 def test_bug_messages(spark, message, bug):
     assert spark.createDataFrame([(message,)], "m string").select(text.is_bug_message(F.col("m"))).first()[0] is bug
 
