@@ -12,6 +12,11 @@ DAY = 86400
 RECENT_DAYS = 90
 
 
+def parsed_commits(log: DataFrame) -> DataFrame:
+    """The commit log with numeric seconds; a malformed time is null and the commit still counts."""
+    return log.withColumn("ts", F.expr("try_cast(trim(ts) as bigint)")).withColumn("subject", F.coalesce("subject", F.lit("")))
+
+
 def split_log_lines(lines: DataFrame, line: str = "line", *keep: str) -> DataFrame:
     """(kept columns, ts, author, subject) of ``ts|author|subject`` lines; the subject keeps further bars."""
     p = F.split(F.col(line), r"\|", 3)
@@ -59,11 +64,23 @@ def entropy(counts: DataFrame) -> DataFrame:
     return s.select("repo", F.round(F.log2("t") - F.col("nl") / F.col("t"), 4).alias("author_entropy"))
 
 
+def gaps(commits: DataFrame) -> DataFrame:
+    """(repo, gap) of commits in a row, one row a commit but the first of a repository, whose gap is null.
+
+    Rows are sorted within blocks of 30 days, and a block's first gap reaches back to the end of the block
+    before it, so a repository with a third of all commits is spread over its blocks.
+    """
+    placed = commits.where("ts is not null").select("repo", "ts", F.floor(F.col("ts") / (30 * DAY)).alias("block"))
+    inner = Window.partitionBy("repo", "block").orderBy("ts")
+    within = placed.select("repo", (F.col("ts") - F.lag("ts").over(inner)).alias("gap"), F.row_number().over(inner).alias("rn")).where("rn > 1").drop("rn")
+    ends = placed.groupBy("repo", "block").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    between = ends.select("repo", (F.col("first") - F.lag("last").over(Window.partitionBy("repo").orderBy("block"))).alias("gap"))
+    return within.unionByName(between)
+
+
 def cadence(commits: DataFrame) -> DataFrame:
     """Population standard deviation over mean of the gaps between commits; 0 for one gap or fewer, or mean 0."""
-    w = Window.partitionBy("repo").orderBy("ts")
-    gaps = commits.where("ts is not null").select("repo", (F.col("ts") - F.lag("ts").over(w)).alias("gap"))
-    g = gaps.groupBy("repo").agg(F.count("gap").alias("k"), F.avg("gap").alias("m"), F.stddev_pop("gap").alias("s"))
+    g = gaps(commits).groupBy("repo").agg(F.count("gap").alias("k"), F.avg("gap").alias("m"), F.stddev_pop("gap").alias("s"))
     return g.select("repo", F.round(F.when((F.col("k") >= 1) & (F.col("m") > 0), F.col("s") / F.col("m")).otherwise(0.0), 4).alias("inter_commit_time_cv"))
 
 
@@ -92,9 +109,15 @@ def bug_series_stats(series: DataFrame) -> DataFrame:
 
 
 def trailing_count(commits: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
-    """Each commit with the number of commits of its repository in the days before it, itself included."""
-    w = Window.partitionBy("repo").orderBy("ts").rangeBetween(-days * DAY, 0)
-    return commits.where("ts is not null").withColumn("trailing", F.count("*").over(w))
+    """Each commit with the number of commits of its repository in the days before it, itself included.
+
+    The window runs over blocks as long as the days; every commit also stands in the next block, where it
+    is only counted, so no repository is sorted in one task.
+    """
+    block = F.floor(F.col("ts") / (days * DAY))
+    placed = commits.where("ts is not null").withColumn("block_", F.explode(F.array(block, block + 1))).withColumn("own_", F.col("block_") == block)
+    w = Window.partitionBy("repo", "block_").orderBy("ts").rangeBetween(-days * DAY, 0)
+    return placed.withColumn("trailing", F.count("*").over(w)).where("own_").drop("block_", "own_")
 
 
 def touched_by(lines: DataFrame, fixes: DataFrame, head: DataFrame) -> DataFrame:

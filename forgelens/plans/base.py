@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgelens.operators import history
 from forgelens.session import table
 
 AS_OF = 1_743_465_600  # 2025-04-01, the end of the month the tables lie in
@@ -56,7 +57,7 @@ TOUCHES_AS_OF = 946_684_800  # a moment after most order dates
 def commits(spark: SparkSession, sf: str) -> DataFrame:
     """The commit log: (commit_row_id, repo, sha, author, ts, subject) with numeric seconds where readable."""
     c = table(spark, sf, "commit_log", "commit_row_id", "project_name", "sha", "author", "ts", "subject")
-    return c.select("commit_row_id", F.col("project_name").alias("repo"), "sha", "author", F.expr("try_cast(trim(ts) as bigint)").alias("ts"), F.coalesce("subject", F.lit("")).alias("subject"))
+    return history.parsed_commits(c).select("commit_row_id", F.col("project_name").alias("repo"), "sha", "author", "ts", "subject")
 
 
 COMMITS_SQL = "commits as (select commit_row_id, project_name repo, sha, author, try_cast(case when regexp_full_match(trim(ts), '[+-]?[0-9]+') then trim(ts) end as bigint) ts, coalesce(subject, '') subject from commit_log)"

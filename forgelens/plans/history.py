@@ -123,12 +123,10 @@ def ag14_bug_series(spark, sf):
     return history.bug_series_stats(_series(spark, sf))
 
 
-@book("wn3_gaps", f"with {COMMITS_SQL}, d as (select distinct repo, ts from commits where ts is not null), g as (select repo, ts - lag(ts) over (partition by repo order by ts) gap from d) select repo, count(gap) gaps, min(gap) least, max(gap) most from g group by repo")
+@book("wn3_gaps", f"with {COMMITS_SQL}, g as (select repo, ts - lag(ts) over (partition by repo order by ts) gap from commits where ts is not null) select repo, count(gap) gaps, min(gap) least, max(gap) most, count(*) filter (where gap = 0) zero from g group by repo")
 def wn3_gaps(spark, sf):
-    from pyspark.sql.window import Window
-
-    d = commits(spark, sf).where("ts is not null").select("repo", "ts").distinct()
-    return d.select("repo", (F.col("ts") - F.lag("ts").over(Window.partitionBy("repo").orderBy("ts"))).alias("gap")).groupBy("repo").agg(F.count("gap").alias("gaps"), F.min("gap").alias("least"), F.max("gap").alias("most"))
+    """Gaps between commits in a row, those of the same second included."""
+    return history.gaps(commits(spark, sf)).groupBy("repo").agg(F.count("gap").alias("gaps"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.count_if(F.col("gap") == 0).alias("zero"))
 
 
 @book("wn12_trailing", "with c as (select user_id repo, cast(floor(epoch(ts)) as bigint) ts, event_id from events) select event_id, count(*) over (partition by repo order by ts range between 7776000 preceding and current row) n_trailing from c")
