@@ -114,4 +114,12 @@ both_ as (select a, b from e union select b, a from e),
 reach(s, t) as (select c, c from (select distinct c from nodes) union select r.s, b.b from reach r join both_ b on r.t = b.a)
 select x.n name_a, y.n name_b from nodes x join reach on reach.s = x.c join nodes y on y.c = reach.t where x.n < y.n
 """
-ORACLES = {"p2_cutoffs": P2_SQL, "p4_error": P4_ERROR_SQL, "p6_found": P6_SQL, "p6_leaks": "select cast(0 as bigint) leaks"}
+_CASES = " ".join(f"when middle < {sum(x for _, x in SHARES[:i + 1])}::double then '{label}'" for i, (label, _) in enumerate(SHARES[:-1]))
+P6_SPLITS_SQL = P6_SQL.rsplit("select x.n name_a", 1)[0].rstrip() + f""",
+comp as (select s c, min(t) component from reach group by s),
+named as (select f.project_name, coalesce(component, '{splits.NULL_ENTITY}') component, count(*) n from file_facts f left join nodes on nodes.n = f.project_name left join comp on comp.c = nodes.c group by 1, 2),
+sizes as (select component, sum(n) n from named group by 1),
+placed as (select component, (coalesce(sum(n) over (order by md5(component), component rows between unbounded preceding and 1 preceding), 0) + n / 2.0::double) / sum(n) over () middle from sizes)
+select project_name, component, case {_CASES} else '{SHARES[-1][0]}' end split, n "rows" from named join placed using (component)
+"""
+ORACLES = {"p6_splits": P6_SPLITS_SQL, "p2_cutoffs": P2_SQL, "p4_error": P4_ERROR_SQL, "p6_found": P6_SQL, "p6_leaks": "select cast(0 as bigint) leaks"}
