@@ -122,8 +122,9 @@ def pj9_full_name(spark, sf):
     return d.select("discovery_id", text.full_name_of(F.col("clone_url")).alias("full_name_found"), text.is_repo_url(F.col("clone_url")).alias("is_url"))
 
 
-@book("pj10_age_days", f"select discovery_id, coalesce(greatest(date_diff('day', try_strptime(substr(created_at, 1, 10), '%Y-%m-%d')::date, date '{AS_OF_DATE}'), 1), 365) age_days from discovery where created_at is null or regexp_full_match(substr(created_at, 1, 10), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')")
+@book("pj10_age_days", f"select discovery_id, coalesce(case when d is not null then greatest(d, 1) end, 365) age_days from (select discovery_id, date_diff('day', try_strptime(substr(created_at, 1, 10), '%Y-%m-%d')::date, date '{AS_OF_DATE}') d from discovery)")
 def pj10_age_days(spark, sf):
+    """Days since the project began, at least 1; 365 where the date is missing or cannot be read."""
     d = table(spark, sf, "discovery", "discovery_id", "created_at")
     return d.select("discovery_id", scalars.age_days(F.col("created_at"), AS_OF_DATE).cast("bigint").alias("age_days"))
 
@@ -377,7 +378,10 @@ def sp3_time_split(spark, sf):
     return splits.time_split(f, "collected_at", "row_id").select("row_id", "part")
 
 
-@book("sp4_group_folds")
+@book("sp4_group_folds", """with recursive s as (select project_name, n, row_number() over (order by n desc, project_name) r from (select project_name, count(*) n from file_facts where project_name is not null group by 1)),
+ g(r, project_name, fold, loads) as (select 0::bigint, null::varchar, 0::bigint, [0, 0, 0, 0, 0]::bigint[] union all
+ select s.r, s.project_name, list_position(loads, list_min(loads))::bigint - 1, [case when i = list_position(loads, list_min(loads)) then x + s.n else x end for x, i in loads] from g join s on s.r = g.r + 1)
+ select project_name, cast(fold as int) fold from g where r > 0""")
 def sp4_group_folds(spark, sf):
     """Projects to the lightest fold, largest first."""
     return splits.group_folds(facts(spark, sf, "project_name"), 5)
