@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
@@ -105,6 +105,23 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
 FALLBACK = "Diger"
 
 
+MAX_WORDS = 100_000
+
+
+def vocabulary_of(words: DataFrame) -> dict[str, tuple[str, ...]]:
+    """A vocabulary from a table (category, word, position): categories by their least position, then by name.
+
+    The words become patterns in the plan, so more than ``MAX_WORDS`` raise.
+    """
+    rows = words.where("category is not null and word is not null").groupBy("category", "word").agg(F.min("position").alias("position")).limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError("the vocabulary is too large for patterns")
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["position"], r["category"], r["word"])):
+        out.setdefault(r["category"], []).append(r["word"])
+    return {c: tuple(w) for c, w in out.items()}
+
+
 def category_pattern(words: tuple[str, ...]) -> str:
     alternatives = "|".join(w.replace("-", "[- ]").replace(".", "[.]") for w in words)
     return rf"(?i){START}({alternatives}){END}"

@@ -193,3 +193,29 @@ def test_age_of_every_project(spark, tmp_path):
     dates = [None, "", "unknown", "2025-13-45", "2025-03-22T10:00:00Z", "2025-04-01", "2026-01-01"]
     spark.createDataFrame(list(enumerate(dates)), "discovery_id long, created_at string").write.parquet(f"{tmp_path}/discovery.parquet")
     assert rows(pj10_age_days(spark, str(tmp_path)), "discovery_id", "age_days") == [(0, 365), (1, 365), (2, 365), (3, 365), (4, 10), (5, 1), (6, 1)]
+
+
+def test_vocabulary_from_a_table(spark):
+    words = spark.createDataFrame([("Web", "flask", 2), ("AI/ML", "machine-learning", 1), ("Web", "api", 2), (None, "x", 1), ("Web", None, 3)], "category string, word string, position int")
+    v = text.vocabulary_of(words)
+    assert v == {"AI/ML": ("machine-learning",), "Web": ("api", "flask")}
+    df = spark.createDataFrame([("pallets/flask", None), ("a/b", "a machine learning tool with an API"), ("a/rapidly", "capital"), ("xyz123abc", None)], "name string, description string")
+    got = [r[0] for r in df.select(text.categories(text.category_text(F.col("name"), None, F.col("description")), v)).collect()]
+    assert got == [["Web"], ["AI/ML", "Web"], ["Diger"], ["Diger"]]
+
+
+def test_trailing_counts_and_gaps_across_blocks(spark):
+    day, rnd = 86400, random.Random(3)
+    times = sorted(rnd.randrange(0, 400 * day) for _ in range(300)) + [10, 10]
+    df = spark.createDataFrame([("r", t) for t in times] + [("s", 5), ("t", None)], "repo string, ts long")
+    got = sorted((r.ts, r.trailing) for r in history.trailing_count(df).where("repo = 'r'").collect())
+    assert got == sorted((t, sum(t - 90 * day <= u <= t for u in times)) for t in times)
+    ordered = sorted(times)
+    assert sorted(r.gap for r in history.gaps(df).where("repo = 'r' and gap is not null").collect()) == sorted(b - a for a, b in zip(ordered, ordered[1:]))
+
+
+def test_failed_linter_output_has_a_null_count(spark):
+    from forgelens.sources import readers
+
+    out = spark.createDataFrame([(1, 'noise\n{"messages": [{"source": "a", "message": "x"}, {"source": "a", "message": "y"}, {"message": "z"}]}'), (2, "crashed"), (3, '{"messages": []}'), (4, None)], "id int, out string")
+    assert sorted((tuple(r) for r in readers.linter_counts(out, "id", "out").collect()), key=str) == [(1, "a", 2), (1, "unknown", 1), (2, None, None), (4, None, None)]
