@@ -120,6 +120,27 @@ def trailing_count(commits: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
     return placed.withColumn("trailing", F.count("*").over(w)).where("own_").drop("block_", "own_")
 
 
+def parsed_numstat(lines: DataFrame, line: str, *keep: str) -> DataFrame:
+    """(kept columns, added, deleted, path) of ``added<TAB>deleted<TAB>path`` lines.
+
+    A dash, as of a binary file, gives null counts; a line of other than three fields is left out.
+    """
+    p = F.split(F.col(line), "\t")
+    number = lambda c: F.when(F.trim(c) != "-", c.try_cast("double"))
+    return lines.where(F.size(p) == 3).select(*keep, number(p[0]).alias("added"), number(p[1]).alias("deleted"), F.translate(p[2], "\\", "/").alias("path"))
+
+
+def line_labels(lines: DataFrame, head: DataFrame) -> DataFrame:
+    """(path, bug_szz) of every file at HEAD from line touches (path, line, sha, ts, is_fix).
+
+    A file is 1 if a bug fix touched one of its lines that an earlier commit had written, else 0. One
+    aggregate per line finds the first writing and the last fix, so lines are joined with nothing.
+    """
+    per_line = lines.groupBy("path", "line").agg(F.min("ts").alias("first"), F.max(F.when(F.col("is_fix"), F.col("ts"))).alias("fixed"))
+    bad = per_line.where("fixed > first").select("path").distinct().withColumn("bad_", F.lit(1))
+    return head.select("path").distinct().join(bad, "path", "left").select("path", F.coalesce("bad_", F.lit(0)).alias("bug_szz"))
+
+
 def touched_by(lines: DataFrame, fixes: DataFrame, head: DataFrame) -> DataFrame:
     """Files at HEAD with a line that a bug-fix commit changed: (path, bug_szz = 1)."""
     return lines.join(fixes, "sha", "left_semi").join(head, "path", "left_semi").select("path").distinct().withColumn("bug_szz", F.lit(1))

@@ -90,9 +90,11 @@ def sc8_log_lines(spark, sf):
 
 @book("sc9_numstat", f"with {TOUCHES_SQL} select project, count(*) touches, count(added + deleted) with_churn, sum(added + deleted) churn from touches group by project")
 def sc9_numstat(spark, sf):
-    """Binary touches count as touches but not as churn."""
+    """Numstat text parsed; binary touches count as touches but not as churn."""
+    count = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    text_lines = touches(spark, sf).select("project", F.concat_ws("\t", count("added"), count("deleted"), F.col("path").cast("string")).alias("line"))
     churn = F.col("added") + F.col("deleted")
-    return touches(spark, sf).groupBy("project").agg(F.count("*").alias("touches"), F.count(churn).alias("with_churn"), F.sum(churn).alias("churn"))
+    return history.parsed_numstat(text_lines, "line", "project").groupBy("project").agg(F.count("*").alias("touches"), F.count(churn).alias("with_churn"), F.sum(churn).alias("churn"))
 
 
 @book("sc11_bug_fix_hashes", f"with {COMMITS_SQL} select distinct sha from commits where {BUG_SQL}")
@@ -144,6 +146,20 @@ def lb4_touched(spark, sf):
     return history.touched_by(t.select("sha", "path"), history.bug_fix_hashes(t), head)
 
 
+_LINE_TOUCHES = "lt as (select l_partkey path, l_linenumber line, o_orderdate ts, o_orderpriority like '1%' or o_orderpriority like '5%' is_fix from lineitem join orders on l_orderkey = o_orderkey)"
+
+
+@book("lb4_szz", f"""with {_LINE_TOUCHES}, per_line as (select path, line, min(ts) first, max(case when is_fix then ts end) fixed from lt group by 1, 2), head as (select distinct p_partkey path from part where p_size <= 25)
+ select head.path, cast(head.path in (select path from per_line where fixed > first) as int) bug_szz from head""")
+def lb4_szz(spark, sf):
+    """JN10: files at HEAD of which a fix touched a line that an earlier commit had written (line = order line number)."""
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_orderpriority")
+    fix = F.col("o_orderpriority").startswith("1") | F.col("o_orderpriority").startswith("5")
+    lines = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("o_orderkey").alias("sha"), F.col("o_orderdate").alias("ts"), fix.alias("is_fix"))
+    return history.line_labels(lines, table(spark, sf, "part", "p_partkey", "p_size").where("p_size <= 25").select(F.col("p_partkey").alias("path")))
+
+
 @book("lb1_bug_keyword", "select cast(case when coalesce(bug_count, 0) > 0 then 1 else 0 end as tinyint) bug_keyword_new, count(*) n from file_facts group by 1")
 def lb1_bug_keyword(spark, sf):
     return table(spark, sf, "file_facts", "bug_count").groupBy(labels.bug_keyword(F.col("bug_count")).alias("bug_keyword_new")).agg(F.count("*").alias("n"))

@@ -20,6 +20,15 @@ def sk1_project_partitions(spark, sf):
     return spark.read.parquet(path).select(F.col("project_name").cast("string").alias("project_name"), "loc").groupBy("project_name").agg(F.count("*").alias("n"), F.sum("loc").alias("loc"))
 
 
+@book("sc2_project_files", "select count(*) n, sum(loc) loc, count(distinct file_path) paths from file_facts where project_name is not null")
+def sc2_project_files(spark, sf):
+    """The files of all projects as one table, a broken one among them skipped."""
+    path = scratch(spark, "project-files")
+    writers.write_projects(facts(spark, sf, "project_name", "file_path", "loc").where("project_name is not null").repartition("project_name"), path)
+    spark.createDataFrame([("no parquet",)], "value string").write.text(f"{path}/project_name=broken")
+    return readers.project_parquets(spark, path).agg(F.count("*").alias("n"), F.sum("loc").alias("loc"), F.count_distinct("file_path").alias("paths"))
+
+
 @book("sk2_dated", "select count(*) n from file_facts")
 def sk2_dated(spark, sf):
     """SK3, SC4: dated data sets, of which the newest is read by partition."""
@@ -62,8 +71,8 @@ def sk5_json(spark, sf):
     path = scratch(spark, "discovery.json")
     d = table(spark, sf, "discovery", "full_name", "clone_url", "stars", "created_at", "project_age_days", "contributor_count", "default_branch", "topics", "description")
     d.select(F.to_json(F.struct(F.array(F.struct("*")).alias("found")), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
-    rows = spark.read.schema(readers.DISCOVERY).json(path).select(F.explode("found").alias("p")).select("p.*")
-    return rows.select("full_name", F.coalesce("stars", F.lit(0)).alias("stars"), F.coalesce("description", F.lit("")).alias("description"))
+    spark.createDataFrame([('{"found": [{"full_name": "cut/off", ',), ("no JSON",)], "value string").write.mode("append").text(path)  # gives no rows
+    return readers.discovery_json(spark, path, by_line=True).select("full_name", "stars", "description")
 
 
 @book("sk7_status_log", "select event_type name, max(event_id) last from events group by event_type")

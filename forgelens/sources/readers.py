@@ -34,9 +34,9 @@ def latest_by_time(spark: SparkSession, directory: str, glob: str, exclude: str
     return files.where(~F.contains("path", F.lit(exclude))).agg(F.max_by("path", "modificationTime").alias("p")).first()["p"]
 
 
-def discovery_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row per project found; a malformed document gives no rows; missing fields take defaults."""
-    rows = spark.read.schema(DISCOVERY).option("multiLine", "true").option("mode", "PERMISSIVE").json(path).select(F.explode("found").alias("p")).select("p.*")
+def discovery_json(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """One row per project found; a malformed document gives no rows; missing fields take defaults. A document is a file, or a line."""
+    rows = spark.read.schema(DISCOVERY).option("multiLine", str(not by_line).lower()).option("mode", "PERMISSIVE").json(path).select(F.explode("found").alias("p")).select("p.*")
     return rows.select("full_name", F.coalesce("stars", F.lit(0)).alias("stars"), F.coalesce("created_at", F.lit("")).alias("created_at"), F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), F.coalesce("description", F.lit("")).alias("description"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def write_projects(df: DataFrame, path: str) -> None:
@@ -38,8 +37,8 @@ def append_status(df: DataFrame, path: str) -> None:
 
 def current_status(spark: SparkSession, path: str) -> DataFrame:
     """The last status of each name in a log."""
-    w = Window.partitionBy("name").orderBy(F.desc("completed_at"))
-    return spark.read.parquet(path).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    log = spark.read.parquet(path)
+    return log.groupBy("name").agg(F.max_by(F.struct(*[c for c in log.columns if c != "name"]), "completed_at").alias("last")).select("name", "last.*")
 
 
 def merged_results(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:

@@ -219,3 +219,12 @@ def test_failed_linter_output_has_a_null_count(spark):
 
     out = spark.createDataFrame([(1, 'noise\n{"messages": [{"source": "a", "message": "x"}, {"source": "a", "message": "y"}, {"message": "z"}]}'), (2, "crashed"), (3, '{"messages": []}'), (4, None)], "id int, out string")
     assert sorted((tuple(r) for r in readers.linter_counts(out, "id", "out").collect()), key=str) == [(1, "a", 2), (1, "unknown", 1), (2, None, None), (4, None, None)]
+
+
+def test_numstat_and_line_labels(spark):
+    lines = spark.createDataFrame([(1, "3\t0\ta\\b.py"), (2, "-\t-\tx.bin"), (3, "no numstat"), (4, "1\t2\tc.py\textra"), (5, None)], "id int, line string")
+    assert sorted(tuple(r) for r in history.parsed_numstat(lines, "line", "id").collect() if r.added) == [(1, 3.0, 0.0, "a/b.py")]
+    assert history.parsed_numstat(lines, "line", "id").count() == 2
+    t = spark.createDataFrame([("a", 1, "s1", 10, False), ("a", 1, "s2", 20, True), ("b", 1, "s2", 20, True), ("c", 1, "s2", 20, True), ("c", 2, "s1", 10, False), ("gone", 1, "s1", 1, False), ("gone", 1, "s2", 2, True)], "path string, line int, sha string, ts long, is_fix boolean")
+    head = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "path string")
+    assert rows(history.line_labels(t, head), "path", "bug_szz") == [("a", 1), ("b", 0), ("c", 0), ("d", 0)]
