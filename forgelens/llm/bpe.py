@@ -136,10 +136,10 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     looked = base.select("k_", *held, F.xxhash64("t_").alias("h_"), F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"), rank_of_word(w, path).alias("id"))).alias("ws"))
     there = F.filter("ws", lambda w: w["id"].isNotNull())
     hits = looked.select("k_", "h_", *held, F.transform(there, lambda w: w["pos"]).alias("at"), F.transform(there, lambda w: w["id"]).alias("ids"))
-    missing = cut(looked.select("k_", "h_", F.explode(F.filter("ws", lambda w: w["id"].isNull())).alias("w")).select("k_", "h_", "w.pos", "w.word").distinct())
+    missing = cut(looked.select("k_", "h_", F.explode(F.filter("ws", lambda w: w["id"].isNull())).alias("w")).select("k_", "h_", "w.pos", "w.word"))
     distinct = missing.select("word").distinct().select("word", segments(F.col("word"), path).alias("parts_"))
     folded = distinct.select("word", F.flatten(F.transform("parts_", lambda p: merged(p, path))).alias("ids"))
-    back = missing.join(folded, "word").groupBy("k_", "h_").agg(F.collect_list(F.struct("pos", "ids")).alias("misses"))
+    back = missing.join(folded, "word").groupBy("k_", "h_").agg(F.collect_set(F.struct("pos", "ids")).alias("misses"))  # a set, as repeated rows have equal keys and texts
     own = F.zip_with("at", "ids", lambda p, i: F.struct(p.alias("pos"), F.array(i).alias("ids")))
     every = F.array_sort(F.concat(own, "misses"))
     ids = F.when(F.col("misses").isNull(), F.col("ids")).otherwise(F.flatten(F.transform(every, lambda x: x["ids"])))
