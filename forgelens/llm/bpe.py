@@ -27,13 +27,14 @@ import zlib
 from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgelens.session import cut
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLOTS = 1 << 11
+PLAN_TEXT = 100_000  # characters of a plan description
 
 # The pattern of the vocabulary, with white space as in Unicode.
 _S = r"\p{IsWhite_Space}"
@@ -127,8 +128,16 @@ def merged(word_hex: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     return F.transform(_pieces(folded["w"]), lambda p: rank_of(p, path))
 
 
+def _shorten_plan_texts(spark: SparkSession) -> None:
+    """Cut the texts that describe plans: the literal maps would stand in each of them, and the driver keeps many."""
+    allowed = spark.conf.get("spark.sql.maxPlanStringLength").rstrip("bB")
+    if not allowed.isdigit() or int(allowed) > PLAN_TEXT:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+
+
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = DEFAULT_VOCABULARY, keep: Sequence[str] = ()) -> DataFrame:
     """(key, kept columns, ids): the ids of every row's text, without special tokens."""
+    _shorten_plan_texts(documents.sparkSession)
     kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     held = [f"kept_{i}" for i in range(len(keep))]
     base = documents.select(F.col(key).alias("k_"), F.coalesce(F.col(text), F.lit("")).alias("t_"), *kept)
