@@ -15,13 +15,15 @@ import io
 import math
 import tokenize
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.session import spread
+
 # Thresholds of the smells and of the quality gate.
 MAX_CHARACTERS, MIN_SLOC = 500_000, 10
 LONG_METHOD_LOC, LARGE_CLASS_LOC, LARGE_CLASS_METHODS, LONG_PARAMS, NESTING, HIGH_CC, LOW_MI, GOD_CC, GOD_LOC = 50, 500, 10, 5, 4, 10, 20, 15, 80
@@ -38,6 +40,9 @@ FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 NESTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try)
 
 
+Children = Callable[[ast.AST], Iterable[ast.AST]]
+
+
 def parsed(source: str | None) -> ast.Module | None:
     if source is None:
         return None
@@ -49,9 +54,9 @@ def parsed(source: str | None) -> ast.Module | None:
         return None
 
 
-def complexity(node: ast.AST) -> int:
+def complexity(node: ast.AST, children: Children = ast.iter_child_nodes) -> int:
     """1 + decision points, nested functions and classes counted on their own."""
-    n, todo = 1, list(ast.iter_child_nodes(node))
+    n, todo = 1, list(children(node))
     while todo:
         x = todo.pop()
         if isinstance(x, (*FUNCTION, ast.ClassDef)):
@@ -64,16 +69,16 @@ def complexity(node: ast.AST) -> int:
             n += 1 + len(x.ifs)
         elif isinstance(x, ast.match_case):
             n += 1
-        todo.extend(ast.iter_child_nodes(x))
+        todo.extend(children(x))
     return n
 
 
-def cognitive(node: ast.AST) -> int:
+def cognitive(node: ast.AST, children: Children = ast.iter_child_nodes) -> int:
     """Breaks in the flow, each worth one more per level it lies in; chained ``elif`` and ``else`` worth one."""
     total, todo = 0, [(node, 0)]
     while todo:
         parent, depth = todo.pop()
-        for x in ast.iter_child_nodes(parent):
+        for x in children(parent):
             deeper = depth
             if isinstance(x, (ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp)):
                 total += 1 + depth
@@ -92,13 +97,13 @@ def cognitive(node: ast.AST) -> int:
     return total
 
 
-def nesting(node: ast.AST) -> int:
+def nesting(node: ast.AST, children: Children = ast.iter_child_nodes) -> int:
     """Deepest chain of blocks; an ``elif`` nests in its ``if`` and nested functions count."""
     best, todo = 0, [(node, 0)]
     while todo:
         parent, depth = todo.pop()
         best = max(best, depth)
-        todo.extend((x, depth + isinstance(x, NESTS)) for x in ast.iter_child_nodes(parent))
+        todo.extend((x, depth + isinstance(x, NESTS)) for x in children(parent))
     return best
 
 
@@ -202,12 +207,16 @@ def analysed(source: str | None) -> Analysis:
     tree = parsed(source)
     if tree is None:
         return Analysis(None, _no_smells(), [])
-    nodes = list(ast.walk(tree))
+    nodes, below = [tree], {}
+    for x in nodes:  # grows while it is read
+        below[id(x)] = own = list(ast.iter_child_nodes(x))
+        nodes.extend(own)
+    children = lambda x: below[id(x)]
     found = []
     for x in nodes:
         if isinstance(x, FUNCTION):
             a = x.args
-            found.append((x, {"name": x.name, "line": x.lineno, "loc": x.end_lineno - x.lineno + 1, "params": len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg), "nesting": nesting(x), "cc": complexity(x)}))
+            found.append((x, {"name": x.name, "line": x.lineno, "loc": x.end_lineno - x.lineno + 1, "params": len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg), "nesting": nesting(x, children), "cc": complexity(x, children)}))
     functions = [f for _, f in found]
     cc = [f["cc"] for f in functions]
     loc, lloc, sloc, comments, multi, blank, single = line_counts(source, nodes)
@@ -225,7 +234,7 @@ def analysed(source: str | None) -> Analysis:
     counts["smell_low_maintainability"] = int(maintainability(h[2], sum(cc) or 1, sloc, comments / max(1, loc)) < LOW_MI)
     measured = None
     if len(source) <= MAX_CHARACTERS and sloc >= MIN_SLOC:
-        cog = [cognitive(x) for x, _ in found]
+        cog = [cognitive(x, children) for x, _ in found]
         measured = dict(zip(
             METRIC_NAMES,
             (loc, lloc, sloc, comments, multi, blank, single, len(functions), sum(cc) / len(cc) if cc else 0.0, float(max(cc, default=0)), float(sum(cc)), *h,
@@ -293,7 +302,7 @@ def _table(files: DataFrame, key: str, source: str, columns: str, rows) -> DataF
         for pdf in batches:
             yield _typed([(k, *r) for k, s in zip(pdf[key], pdf[source]) for r in _guarded(rows, [])(s)], names)
 
-    return files.select(key, source).mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, {columns}")
+    return spread(files.select(key, source)).mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, {columns}")
 
 
 def metrics_table(files: DataFrame, key: str, source: str = "content") -> DataFrame:
